@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from skarn.llm.garbled import p10_found, p10_restored
 from skarn.llm.mapping import p3_found, p3_misses
 from skarn.llm.surviving import p6_found, p6_survivors
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_misses": p3_misses, "p6_found": p6_found, "p6_survivors": p6_survivors}
+    return {"p3_found": p3_found, "p3_misses": p3_misses, "p6_found": p6_found, "p6_survivors": p6_survivors, "p10_found": p10_found, "p10_restored": p10_restored}
 
 
 def oracle_sql() -> dict[str, str]:
