@@ -47,7 +47,7 @@ class Names:
     def __init__(self, series: list[str]):
         self.series = sorted(set(series), key=lambda s: (-len(s), s))
         known = "|".join(map(re.escape, self.series)) or r"(?!x)x"
-        self.after = re.compile(rf"(?<![^\W\d_])({known}){_BETWEEN}(\d{{3,5}}){_SUFFIX.replace('[A-Z]{1,2}', '[a-z]{1,2}')}")
+        self.after = re.compile(rf"(?<![^\W\d_])({known}){_BETWEEN}(\d{{3,5}}|\d{{2}}-\d{{2}}(?!\d)){_SUFFIX.replace('[A-Z]{1,2}', '[a-z]{1,2}')}")
         self.before = re.compile(rf"(?<![\w.,])(\d{{3,5}})(?:[\s\-–]{{0,2}}(plus|[a-z]{{1,2}}))?[\s\-–]+({known})\b")
         self.short = {}
         for s in self.series:
@@ -74,13 +74,13 @@ class Names:
     def all_in(self, text: str) -> list[tuple[str, str, str, int]]:
         """(series, number, suffix, position) of every mention."""
         low = plain(text)
-        return [(m[1], m[2], suffix_key(m[3]), m.start()) for m in self.after.finditer(low)]
+        return [(m[1], m[2].replace("-", ""), suffix_key(m[3]), m.start()) for m in self.after.finditer(low)]
 
     def in_title(self, title: str) -> tuple[str, str, str] | None:
         """The model that a title names: a series with its number behind or before it, a shortened or a misspelt series."""
         low = plain(title)
         if m := self.after.search(low):
-            return m[1], m[2], suffix_key(m[3])
+            return m[1], m[2].replace("-", ""), suffix_key(m[3])
         if m := self.before.search(low):
             return m[3], m[1], suffix_key(m[2])
         for m in self.cut.finditer(low):
