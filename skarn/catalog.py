@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skarn.operators.quantities import p1_found
 from skarn.operators.widening import p4_found
+from skarn.queries import REGISTRY
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p4_found": p4_found}
+    return {"p1_found": p1_found, "p4_found": p4_found} | {name: f for name, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
