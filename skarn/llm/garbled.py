@@ -176,7 +176,11 @@ _HIGH_RUN = re.compile(r"(?<![A-Za-z])[À-ÖØ-öø-ÿ]{4,}(?![A-Za-z])")
 _KOI_CASE = re.compile(r"(?<![Ѐ-џA-Za-z])[а-яё][А-ЯЁ]{2,}(?![а-яё])")
 _FRAMED_CYRILLIC = re.compile(r"[Ѐ-џ][─-▟√■№¤·°]+[а-яё]|[─-▟√■][а-яё]{2}|[а-яё]{2}[─-▟√■]+|[а-яё][ЁЄЇЎ][а-яЁЄЇЎ]")
 _VOWELS = set("аеёиоуыэюяАЕЁИОУЫЭЮЯ")
-_COMMON = "то но ст ен ра ов на пр ни ер ко ет ол ос по те ан ть ал го не ат ел ро ка от ре ес ли ль та ит ва тр ор ла ти во ин ри ам ом де од ет ив ле ен ны ии ия ся ая ие ем им ой ый ую ют ру ур пи ит об бо ор уд до ми ки".split()
+# Frequent letter pairs of Russian.
+_COMMON = set(
+    "ст но то на ен ов ни ра во ко ро ал ер ол по от ре не ли ан ор та ть ос те ат го пр ка ет ит ла де да ел ва ри ти ие ло ле ин ис ом ве ск об ог ед ил че ам ем им ых ой ый ая ое ые ее ую ии ию до за пе вы со се са су ся "
+    "чт ты вн ьн нн мо ме ма ми му ны ну ки ку кр кл гр др тр бр бо бы бе ба ви ас ах ус ур уд ут ук иб ич ия жд же жи жа ча чи щи ще эт эл вк юч лю чк тк".split()
+)
 
 
 def _russian_score(word: str) -> float:
@@ -187,7 +191,7 @@ def _russian_score(word: str) -> float:
 def _as_russian(words: list[str]) -> tuple[str, dict[int, int]] | None:
     """The single-byte reading under which the words look most Russian, if they clearly do."""
     best = None
-    now = sum(_russian_score(w) for w in words) / len(words)
+    now = sum(_russian_score(w) for w in words if w[1:] == w[1:].lower() or w == w.upper()) / len(words)
     for read_as, written, table in _RUSSIAN_PAIRS:
         if all(all(ord(ch) in table or not _LETTER.match(ch) and ord(ch) < 0x80 for ch in w) for w in words):
             new = [w.translate(table) for w in words]

@@ -11,18 +11,23 @@ from skarn.llm.models import plain
 
 #: Size of the feature table and of the vectors.
 BUCKETS, DIMENSIONS = 1 << 15, 64
+#: Initial size of number features beside that of letters: an unseen number must outweigh unseen words.
+NUMBER_SCALE = 2.0
 _TOKEN = re.compile(r"\d+|[^\W\d_]+")
 
 
 def features(text: str) -> list[int]:
-    """Hashed words, numbers and letter trigrams of a title."""
+    """Hashed words and letter trigrams of a title (lower half of the table), its numbers and their digit pairs (upper half)."""
+    half = BUCKETS // 2
     out = set()
     for token in _TOKEN.findall(plain(text)):
-        grams = [f"w{token}"]
-        if not token.isdigit() and len(token) > 3:
+        if token.isdigit():
+            grams = [token, *(f"{i}:{token[i : i + 2]}" for i in range(len(token) - 1)), f"{token[:3]}*", f"*{token[-3:]}"]
+            out.update(half + xxhash.xxh32_intdigest(g) % half for g in grams)
+        else:
             padded = f"<{token}>"
-            grams += [padded[i : i + 3] for i in range(len(padded) - 2)]
-        out.update(xxhash.xxh32_intdigest(g) % BUCKETS for g in grams)
+            grams = [token, *(padded[i : i + 3] for i in range(len(padded) - 2))] if len(token) > 3 else [token]
+            out.update(xxhash.xxh32_intdigest(g) % half for g in grams)
     return sorted(out)
 
 
@@ -41,10 +46,11 @@ class Encoder:
         return out / np.maximum(norm, 1e-9)
 
 
-def train(pairs: list[tuple[str, str]], epochs: int = 6, batch: int = 256, rate: float = 0.5, temperature: float = 0.1, seed: int = 7) -> Encoder:
+def train(pairs: list[tuple[str, str]], epochs: int = 6, batch: int = 256, rate: float = 0.1, temperature: float = 0.1, seed: int = 7) -> Encoder:
     """Contrastive training: of a batch, the two titles of a pair shall be nearer than any other two (both directions)."""
     rng = np.random.default_rng(seed)
     table = rng.standard_normal((BUCKETS, DIMENSIONS)).astype(np.float32) / np.sqrt(DIMENSIONS)
+    table[BUCKETS // 2 :] *= NUMBER_SCALE
     left, right = [features(a) for a, _ in pairs], [features(b) for _, b in pairs]
     for _ in range(epochs if len(pairs) > 1 else 0):
         order = rng.permutation(len(pairs))
