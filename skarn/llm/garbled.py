@@ -78,7 +78,7 @@ def _natural(codec: str, text: str, start: int, end: int, decoded: str) -> bool:
         return True  # one letter and one mark, as in "С…"
     if codec == "cp1251" and (decoded in "»«" or decoded == "±" and re.search(r"\d ?$|[А-Яа-я]$", text[max(0, start - 2) : start])):
         return True
-    if codec == "mac_roman" and (span[0] in "–—" or span[0] == "√" and span[1] in "≤≥±≠"):
+    if codec == "mac_roman" and (span[0] in "–—" or span[0] == "√" and span[1] in "≤≥±≠" and not (before.isalpha() or after.isalpha())):
         return True
     if len(span) == 2 and span[1] in _MARKS and not (after.isalpha() and span[1] != "\xa0") and codec in ("cp1252", "cp1250", "cp1254", "cp1257", "iso8859_2", "latin_1"):
         if span[1] == "\xa0" and span[0] in "Ãà":
