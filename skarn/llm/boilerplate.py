@@ -8,6 +8,7 @@ still open is decided by its neighbours.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,6 +28,12 @@ AROUND = re.compile(
 )
 
 
+@lru_cache(maxsize=65536)
+def _around(text: str) -> bool:
+    """Whether a line is a phrase of surroundings; such phrases are short."""
+    return len(text) <= 260 and bool(AROUND.search(normal(text)))
+
+
 def line_features(source: str) -> tuple[str, list[dict], list[dict]]:
     """(title, lines, subtrees) of a body; only lines with visible text."""
     page = read_page(source)
@@ -108,10 +115,9 @@ def roles_of(lines: list[dict], trees: list[dict], facts: dict[int, dict], size:
     role: list[str] = []
     for x in lines:
         f = facts.get(x["hash"], {"around": 0, "main": 0, "hosts": 1, "on_host": 1})
-        text = normal(x["text"])
         if x["zone"] == "c":
             r = "c"
-        elif AROUND.search(text) or x["shape"] in "bl":
+        elif x["shape"] in "bl" or _around(x["text"]):
             r = "c"
         elif f["around"] > 2 * f["main"] and f["around"] >= 2:
             r = "c"
@@ -124,7 +130,7 @@ def roles_of(lines: list[dict], trees: list[dict], facts: dict[int, dict], size:
         elif x["no"] in deleted and x["shape"] != "v":
             r = "c"
         elif x["shape"] in "sv":
-            r = "c" if often(x["hash"]) and x["shape"] == "s" and f["main"] == 0 and f["hosts"] > 3 and len(text.split()) < 12 and f["around"] else "m"
+            r = "c" if often(x["hash"]) and x["shape"] == "s" and f["main"] == 0 and f["hosts"] > 3 and len(x["text"].split()) < 12 and f["around"] else "m"
         elif x["shape"] == "l":
             r = "c"
         else:
@@ -177,14 +183,6 @@ def stored_pages(spark, sf_dir: str) -> DataFrame:
     return cut(pages.select("body_id", "host", "url", "page"))
 
 
-def description_lines(spark, sf_dir: str, pages: DataFrame) -> DataFrame:
-    """src, row_id, line_no of the main lines of descriptions; what lines are surroundings is learned from the pages and the descriptions together."""
-    texts = with_lines(spread(described(read_table(spark, sf_dir, "device_records"), "listing_id", "description", "vendor")))
-    both = pages.select(F.concat(F.lit("b"), "body_id").alias("key"), "host", "page").unionByName(texts.select(F.concat(F.lit("d"), "listing_id").alias("key"), "host", "page"))
-    roles = line_roles(both, "key").where(F.col("key").startswith("d"))
-    return main_lines(roles, F.lit("description"), F.substring("key", 2, 20).cast("bigint"))
-
-
 def main_lines(roles: DataFrame, src, row_id) -> DataFrame:
     """src, row_id, line_no of every line whose role is main."""
     kept = F.filter(F.arrays_zip(F.col("page.lines").alias("l"), F.col("role").alias("r")), lambda x: x["r"] == "m")
@@ -195,7 +193,11 @@ def p7_found(spark, sf_dir: str) -> DataFrame:
     """src, row_id, line_no of the lines to keep: of stored bodies that are real pages, and of descriptions of several lines."""
     from skarn.llm.residue import empty_bodies
 
-    pages = stored_pages(spark, sf_dir)
-    roles = cut(line_roles(pages, "body_id"))
-    real = roles.join(empty_bodies(roles).select("body_id"), "body_id", "left_anti")
-    return main_lines(real, F.lit("body"), F.col("body_id")).unionByName(description_lines(spark, sf_dir, pages))
+    pages = stored_pages(spark, sf_dir).select(F.concat(F.lit("b"), "body_id").alias("key"), "host", "url", "page")
+    texts = with_lines(spread(described(read_table(spark, sf_dir, "device_records"), "listing_id", "description", "vendor")))
+    # What is template is counted among pages and among descriptions of a host apart, the roles of lines over both together.
+    both = pages.unionByName(texts.select(F.concat(F.lit("d"), "listing_id").alias("key"), F.concat(F.lit("d:"), "host").alias("host"), F.lit(None).cast("string").alias("url"), "page"))
+    roles = cut(line_roles(both, "key")).withColumn("body_id", F.substring("key", 2, 20).cast("bigint"))
+    bodies, descriptions = roles.where(F.col("key").startswith("b")), roles.where(F.col("key").startswith("d"))
+    real = bodies.join(empty_bodies(bodies).select("body_id"), "body_id", "left_anti")
+    return main_lines(real, F.lit("body"), F.col("body_id")).unionByName(main_lines(descriptions, F.lit("description"), F.col("body_id")))

@@ -18,6 +18,8 @@ _ATTR = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 # Elements that begin a new block of text, and elements without an end tag.
 BLOCKS = set("address article aside blockquote body br caption center dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td th thead tr ul title option select small".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+CELLS = {"td", "th", "dt", "dd"}
+FLAGS = {**{f"h{n}": 1 for n in range(1, 7)}, "li": 2, "b": 4, "strong": 4, **{t: 8 for t in CELLS}}
 CHROME_TAGS = {"nav", "header", "footer", "aside", "noscript", "dialog", "form", "button", "select", "iframe"}
 MAIN_TAGS = {"main", "article"}
 CHROME_NAME = re.compile(r"(?:^|[\s_-])(?:nav\w*|menu\w*|mega|breadcrumbs?|crumbs?|cookie\w*|consent\w*|cb|dialog|overlay|banner|footer|header|sidebar|side|aside|teasers?|related|social|share|newsletter|promo|toolbar|topbar|nv)(?:$|[\s_-])", re.I)
@@ -90,7 +92,7 @@ def read_page(source: str) -> Page:
             line.item = bool(_BULLET.match(text))
         _finish(page)
         return page
-    stack: list[list] = []  # [tag, zone, first line, child hashes]
+    stack: list[tuple] = []  # (tag, zone, first line, what it and its ancestors are: 1 heading, 2 list item, 4 bold)
     at, no, block, zone = 0, 1, 0, ""
     parts: dict[int, list[str]] = {}
     linked = bold = 0
@@ -114,10 +116,10 @@ def read_page(source: str) -> Page:
                         if linked:
                             line.linked += len(piece.strip())
                         line.pieces += bool(stack) and stack[-1][0] in ("a", "li", "span") and len(piece.split()) <= 4
-                        tags = {s[0] for s in stack}
-                        line.heading |= bool(tags & {"h1", "h2", "h3", "h4", "h5", "h6"}) or bool(tags & {"b", "strong"} and bold)
-                        line.cell |= any(s[0] in ("td", "th", "dt", "dd") and s[2] == no for s in stack)
-                        line.item |= "li" in tags
+                        is_ = stack[-1][3] if stack else 0
+                        line.heading |= bool(is_ & 1) or bool(is_ & 4 and bold)
+                        line.item |= bool(is_ & 2)
+                        line.cell |= bool(is_ & 8) and any(s[2] == no and s[0] in CELLS for s in stack)
         if span is None:
             break
         token = span[0]
@@ -156,7 +158,8 @@ def read_page(source: str) -> Page:
                 zone = "c" if around else "m" if tag in MAIN_TAGS else zone
             if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
                 _close(page, stack.pop(), no, stack)
-            stack.append([tag, zone, no])
+            flags = (stack[-1][3] if stack else 0) | FLAGS.get(tag, 0)
+            stack.append((tag, zone, no, flags))
     for no, pieces in parts.items():
         lines[no - 1].text = " ".join(" ".join(html.unescape("".join(pieces)).split()).split())
     title = re.search(r"<title[^>]*>(.*?)</title>", source, re.S | re.I)
@@ -165,7 +168,7 @@ def read_page(source: str) -> Page:
     return page
 
 
-def _close(page: Page, element: list, last: int, stack: list) -> None:
+def _close(page: Page, element: tuple, last: int, stack: list) -> None:
     if last > element[2] and element[0] not in ("html", "body"):
         page.trees.append((0, element[2], last))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,6 +49,11 @@ def latin_share(text: str) -> float:
     return sum(w in LATIN for w in words) / len(words) if len(words) >= 3 else 0.0
 
 
+#: A message that stands for a page is a short statement; a longer one is an article.
+LONGEST_MESSAGE = 240
+
+
+@lru_cache(maxsize=65536)
 def detector(text: str) -> str:
     """The detector that takes a line for no content: placeholder, filler, message, or an empty text."""
     bare = PLACEHOLDER.sub(" ", text)
@@ -55,7 +61,7 @@ def detector(text: str) -> str:
         return "placeholder"
     if FILLER.match(text.strip()) or latin_share(text) >= 0.6:
         return "filler"
-    if MESSAGE.search(text.strip()):
+    if len(text) <= LONGEST_MESSAGE and MESSAGE.search(text.strip()):
         return "message"
     return ""
 
@@ -74,19 +80,25 @@ def _statements(title: str | None, url: str | None, lines, roles) -> tuple[list[
     blocks: dict[int, list] = {}
     for x in main:
         blocks.setdefault(x["block"], []).append(x)
-    found, taken, words = [], 0, set()
+    found, taken = [], 0
     for group in blocks.values():
-        text = " ".join(x["text"] for x in group)
-        words |= {w.lower() for w in _TERM.findall(text)}
-        if detector(text):
+        statement = group[0]["shape"] in ("s", "v")
+        if len(found) > MOST_STATEMENTS:  # the page is real whatever the rest says
+            if statement:
+                found.append(group[0]["hash"])
+        elif detector(" ".join(x["text"] for x in group)):
             taken += 1
-        elif group[0]["shape"] in ("s", "v"):
+        elif statement:
             found.append(group[0]["hash"])
+    found = list(dict.fromkeys(found))
+    if len(found) > MOST_STATEMENTS:
+        return found, taken, False
+    words = {w.lower() for x in main for w in _TERM.findall(x["text"])}
     slug = {w.lower() for w in _TERM.findall((url or "").split("://")[-1].partition("/")[2])}
     head = re.split(r"\s[-–|@]\s", title or "")[0]
     terms = {w.lower() for w in _TERM.findall(head)}
     apart = bool(detector(head)) or bool(MESSAGE.search(head)) or (not (terms & words) and not (slug & words))
-    return list(dict.fromkeys(found)), taken, apart
+    return found, taken, apart
 
 
 def empty_bodies(roles: DataFrame) -> DataFrame:
