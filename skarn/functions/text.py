@@ -167,3 +167,19 @@ def count_words(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Distinct words of two or more letters and digits that aren't numbers."""
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)), lambda t: (F.length(t) >= 2) & ~t.rlike("^[0-9]+$")))
+
+
+# Marks of pages that only ask whether the visitor is a person.
+CHALLENGE = r"(?i)<title>\s*(?:Just a moment\.\.\.|Attention Required! \| Cloudflare|Access Denied)\s*</title>|cf-browser-verification|challenge-platform|_Incapsula_Resource"
+#: A data sheet's line: a label, a colon or a run of dots or blanks, and a value.
+SHEET_LINE = r"^\s*([A-Za-zÄÖÜäöüß][^:\n]{1,48}?)\s*(?::|\.{3,}|\t|\s{3,})\s*(.{1,80})$"
+
+
+def is_challenge(body: Column) -> Column:
+    return body.rlike(CHALLENGE)
+
+
+def sheet_pairs(text: Column) -> Column:
+    """array<struct<label, value>> of the lines of a data sheet's text whose value has a digit."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(SHEET_LINE) & F.regexp_extract(x, SHEET_LINE, 2).rlike(r"\d"))
+    return F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, SHEET_LINE, 1)).alias("label"), F.trim(F.regexp_extract(x, SHEET_LINE, 2)).alias("value")))

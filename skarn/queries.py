@@ -503,3 +503,36 @@ def page_tables(spark: SparkSession, d: str) -> DataFrame:
 def scope_by_words(spark: SparkSession, d: str) -> DataFrame:
     """Menu entries that their words and addresses put into the catalogue."""
     return extract.scope_by_words(read_table(spark, d, "scope_entries"), "name", "url").select("entry_id", F.coalesce("in_scope", F.lit(False)).alias("in_scope"))
+
+
+@query(
+    rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents), m AS (SELECT doc_id, trim(regexp_extract(x, '{T.SHEET_LINE}', 1), ' ') AS label, trim(regexp_extract(x, '{T.SHEET_LINE}', 2), ' ') AS value FROM l WHERE regexp_matches(x, '{T.SHEET_LINE}'))
+    SELECT doc_id, label, value FROM m WHERE regexp_matches(value, '[0-9]')"""
+)
+def sheet_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Label and value lines of whole texts, as data sheets have them."""
+    return read_table(spark, d, "documents").select("doc_id", F.explode(T.sheet_pairs(F.col("text"))).alias("p")).select("doc_id", "p.label", "p.value")
+
+
+@query()
+def page_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Specifications written as text in stored pages, and products presented in place."""
+    from skarn.sources.sections import with_sections
+
+    s = with_sections(read_table(spark, d, "page_bodies").select("body_id", "html"), "html").drop("html")
+    return s.select("body_id", "section.heading", F.size("section.pairs").alias("pairs"), F.size("section.parts").alias("parts"))
+
+
+@query()
+def menu_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Menu entries of stored pages that are in the catalogue's scope, per site."""
+    from skarn.plans.scope import menu_scope as scope
+
+    links = _parsed(spark, d).select(U.host(F.col("url")).alias("site"), F.explode("parsed.links").alias("l")).select("site", "l.*")
+    return scope(links)
+
+
+@query(r"SELECT body_id, regexp_matches(html, '" + T.CHALLENGE + "') AS challenge, (lower(substr(html, 1, 2048)) LIKE '%<urlset%' OR lower(substr(html, 1, 2048)) LIKE '%<sitemapindex%' OR lower(substr(html, 1, 2048)) LIKE '%<loc>%') AS sitemap FROM page_bodies")
+def body_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies that are a check on visitors, or a sitemap."""
+    return read_table(spark, d, "page_bodies").select("body_id", T.is_challenge(F.col("html")).alias("challenge"), R.is_sitemap(F.col("html")).alias("sitemap"))

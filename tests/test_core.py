@@ -176,3 +176,24 @@ def test_against_sql(spark, small, name):
     names = [c[0] for c in cur.description]
     expected = sorted(map(repr, cur.fetchall()))
     assert sorted(repr(tuple(r)) for r in f(spark, small).select(*names).collect()) == expected
+
+
+def test_sections_and_parts():
+    from skarn.sources.sections import product_parts, section_pairs
+
+    page = "<h2>Specifications</h2><p><strong>Size</strong></p><p>Weight: 5.2 kg<br>Height: 3 cm</p><p><b>Other</b></p><p>Height: 9 cm</p><li>4-40 °C ambient</li><h2>Contact</h2><p>Phone: 1</p>"
+    assert section_pairs(page) == ("Specifications", [("Weight", "5.2 kg"), ("Height", "3 cm"), ("Height (Other)", "9 cm"), ("Other", "4-40 °C ambient")])
+    assert section_pairs("") == ("", []) and section_pairs("<p>Weight: 1 kg</p>") == ("", [])
+    flex = '<a href="#a">Flex 400</a><a href="#b">Flex c5</a><a href="#top">Top</a><h2 id="a">Flex 400</h2>one<h2 id="b">Flex c5</h2>two<footer>x</footer>'
+    assert [n for n, _ in product_parts(flex)] == ["Flex 400", "Flex c5"] and "two" in product_parts(flex)[1][1]
+    assert product_parts('<a href="#a">Details</a><a href="#b">Overview</a><p id="a"></p><p id="b"></p>') == []
+
+
+def test_menu_scope(spark):
+    from skarn.plans.scope import affiliated_domains, menu_scope
+
+    rows = [("a.b", "https://a.b/p", "Products", [], "nav"), ("a.b", "https://a.b/p/m", "Mixers", ["Products"], "nav"), ("a.b", "https://a.b/p/m/1", "M 1", ["Products", "Mixers"], "nav"), ("a.b", "https://a.b/p/s", "Software", ["Products"], "nav"), ("a.b", "https://c.d/x", "Products", [], "footer")]
+    df = spark.createDataFrame(rows, "site string, href string, text string, trail array<string>, region string")
+    got = {(r["text"], r["role"], r["category"]) for r in menu_scope(df).collect()}
+    assert got == {("Products", "hub", ""), ("Mixers", "hub", ""), ("M 1", "product", "Mixers")}
+    assert [tuple(r) for r in affiliated_domains(df).collect()] == [("a.b", "c.d")]
