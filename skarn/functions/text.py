@@ -181,5 +181,5 @@ def is_challenge(body: Column) -> Column:
 
 def sheet_pairs(text: Column) -> Column:
     """array<struct<label, value>> of the lines of a data sheet's text whose value has a digit."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(SHEET_LINE) & F.regexp_extract(x, SHEET_LINE, 2).rlike(r"\d"))
+    lines = F.filter(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), lambda x: x.rlike(SHEET_LINE) & F.regexp_extract(x, SHEET_LINE, 2).rlike(r"\d"))
     return F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, SHEET_LINE, 1)).alias("label"), F.trim(F.regexp_extract(x, SHEET_LINE, 2)).alias("value")))

@@ -506,7 +506,7 @@ def scope_by_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents), m AS (SELECT doc_id, trim(regexp_extract(x, '{T.SHEET_LINE}', 1), ' ') AS label, trim(regexp_extract(x, '{T.SHEET_LINE}', 2), ' ') AS value FROM l WHERE regexp_matches(x, '{T.SHEET_LINE}'))
+    rf"""WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS x FROM documents), m AS (SELECT doc_id, trim(regexp_extract(x, '{T.SHEET_LINE}', 1), ' ') AS label, trim(regexp_extract(x, '{T.SHEET_LINE}', 2), ' ') AS value FROM l WHERE regexp_matches(x, '{T.SHEET_LINE}'))
     SELECT doc_id, label, value FROM m WHERE regexp_matches(value, '[0-9]')"""
 )
 def sheet_lines(spark: SparkSession, d: str) -> DataFrame:
