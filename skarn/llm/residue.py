@@ -73,32 +73,34 @@ LEAST_REPEATS = 2
 _TERM = re.compile(r"[^\W\d_]{4,}")
 
 
-def _statements(title: str | None, url: str | None, lines, roles) -> tuple[list[int], int, bool]:
-    """(hashes of the main part's sentences and data rows that no detector takes, how many a detector takes, whether the
-    title is a message or none of the address's or title's terms are in the body)."""
+def _statements(title: str | None, url: str | None, lines, roles) -> tuple[list[int], list[int], int, bool]:
+    """(hashes of the main part's sentences and data rows that no detector takes, those of them of four words at most, how
+    many a detector takes, whether the title is a message or none of the address's or title's terms are in the body)."""
     main = [x for x, r in zip(lines, roles) if r == "m"]
     blocks: dict[int, list] = {}
     for x in main:
         blocks.setdefault(x["block"], []).append(x)
-    found, taken = [], 0
+    found, short, taken = [], [], 0
     for group in blocks.values():
         statement = group[0]["shape"] in ("s", "v")
         if len(found) > MOST_STATEMENTS:  # the page is real whatever the rest says
             if statement:
                 found.append(group[0]["hash"])
-        elif detector(" ".join(x["text"] for x in group)):
+        elif detector(text := " ".join(x["text"] for x in group)):
             taken += 1
         elif statement:
             found.append(group[0]["hash"])
+            if len(text.split()) <= 4:
+                short.append(group[0]["hash"])
     found = list(dict.fromkeys(found))
     if len(found) > MOST_STATEMENTS:
-        return found, taken, False
+        return found, [], taken, False
     words = {w.lower() for x in main for w in _TERM.findall(x["text"])}
     slug = {w.lower() for w in _TERM.findall((url or "").split("://")[-1].partition("/")[2])}
     head = re.split(r"\s[-–|@]\s", title or "")[0]
     terms = {w.lower() for w in _TERM.findall(head)}
     apart = bool(detector(head)) or bool(MESSAGE.search(head)) or (not (terms & words) and not (slug & words))
-    return found, taken, apart
+    return found, list(dict.fromkeys(short)), taken, apart
 
 
 def empty_bodies(roles: DataFrame) -> DataFrame:
@@ -106,25 +108,26 @@ def empty_bodies(roles: DataFrame) -> DataFrame:
 
     roles: line_roles of stored pages. A body is empty if its main part has no sentence or data row left after the
     detectors, or at most MOST_STATEMENTS that are each known as messages: found alone on several pages and never on a
-    rich one, over all hosts. A single unknown statement counts as a message if a detector fired beside it, or the
+    rich one, over all hosts; short rows beside a message, such as a reference number, don't make it a page. A single unknown statement counts as a message if a detector fired beside it, or the
     title is a message, or neither the title nor the address shares a term with the body and a detector fired.
     """
     ship_package(roles.sparkSession)
 
     def gather(title: pd.Series, url: pd.Series, lines: pd.Series, role: pd.Series) -> pd.DataFrame:
         got = [_statements(t, u, x if x is not None else [], r if r is not None else []) for t, u, x, r in zip(title, url, lines, role)]
-        return pd.DataFrame(got, columns=["found", "taken", "apart"], index=title.index)
+        return pd.DataFrame(got, columns=["found", "short", "taken", "apart"], index=title.index)
 
-    each = roles.select("body_id", F.pandas_udf(gather, "struct<found array<bigint>, taken int, apart boolean>")("page.title", "url", "page.lines", "role").alias("s")).select("body_id", "s.*")
+    each = roles.select("body_id", F.pandas_udf(gather, "struct<found array<bigint>, short array<bigint>, taken int, apart boolean>")("page.title", "url", "page.lines", "role").alias("s")).select("body_id", "s.*")
     each = cut(each.withColumn("n", F.size("found")))
     known = (
         each.select(F.explode("found").alias("hash"), (F.col("n") <= MOST_STATEMENTS).cast("int").alias("alone"))
         .groupBy("hash").agg(F.sum("alone").alias("alone"), F.sum(1 - F.col("alone")).alias("rich"))
         .where((F.col("alone") >= LEAST_REPEATS) & (F.col("rich") == 0)).select("hash")
     )
-    few = each.where(F.col("n").between(1, MOST_STATEMENTS)).select("body_id", "n", "taken", "apart", F.explode("found").alias("hash"))
-    messages = few.join(known.withColumn("is_message", F.lit(1)), "hash", "left").groupBy("body_id").agg(F.first("n").alias("n"), F.first("taken").alias("taken"), F.first("apart").alias("apart"), F.count("is_message").alias("messages"))
-    suspect = messages.where(((F.col("messages") == F.col("n")) & F.col("apart")) | ((F.col("n") == 1) & (F.col("taken") > 0) & F.col("apart")))
+    few = each.where(F.col("n").between(1, MOST_STATEMENTS)).select("body_id", "n", "short", "taken", "apart", F.explode("found").alias("hash"))
+    few = few.withColumn("is_short", F.array_contains("short", F.col("hash")))
+    messages = few.join(known.withColumn("is_message", F.lit(1)), "hash", "left").groupBy("body_id").agg(F.first("n").alias("n"), F.first("taken").alias("taken"), F.first("apart").alias("apart"), F.count("is_message").alias("messages"), F.count_if(F.col("is_message").isNull() & F.col("is_short")).alias("asides"))
+    suspect = messages.where(((F.col("messages") > 0) & (F.col("messages") + F.col("asides") == F.col("n")) & F.col("apart")) | ((F.col("n") == 1) & (F.col("taken") > 0) & F.col("apart")))
     return each.where(F.col("n") == 0).select("body_id").unionByName(suspect.select("body_id"))
 
 
