@@ -23,6 +23,13 @@ PAGE_QUERY = r"(?i)(?:^|[?&])(?:page|p|pg|paged|start|offset)=\d+"
 PAGE_PATH = r"(?i)/page/\d+/?$"
 ASSET = r"(?i)\.(?:jpe?g|png|gif|svg|webp|ico|css|js|zip|mp4)(?:\?|$)"
 DOCUMENT = r"(?i)\.(?:pdf|docx?|xlsx?|pptx?)$|[-_]pdf[-_]\d+/?$"
+# Labels of language switches, social networks by registrable domain, and hosts that hold no vendor's catalogue.
+LANGUAGE_LABELS = "english deutsch español espanol français francais italiano português portugues nederlands polski русский 中文 日本語 한국어 简体中文 繁體中文 türkçe svenska dansk suomi norsk".split()
+SOCIAL = "facebook.com twitter.com x.com linkedin.com youtube.com instagram.com xing.com tiktok.com weibo.com wechat.com pinterest.com youtu.be".split()
+THIRD_PARTY = (
+    r"(?i)google|gstatic|cookiebot|onetrust|gmpg|w3\.org|schema\.org|hubspot|hsforms|marketo|pardot|vimeo|wistia|doubleclick|cloudflare|jsdelivr|typekit|adobe|bing\.|yahoo|apple\.com|microsoft|office\.com|zoom\.us|eventbrite|issuu|"
+    r"slideshare|wikipedia|archive\.org|addtoany|sharethis|trustpilot|g2\.com|crunchbase|glassdoor|indeed|kununu|workday|successfactors|greenhouse|lever\.co"
+)
 # Path fragments that order a crawl.
 CATALOGUE_HINTS = "product produkt produit producto prodotto shop catalog katalog catalogue instrument geraet equipment portfolio range sortiment".split()
 EDITORIAL_HINTS = "news press blog career job event story about contact legal privacy imprint impressum webinar download support service login account cart search".split()
@@ -157,3 +164,10 @@ def category(url: Column) -> Column:
     """The path segment above the last; empty for short paths."""
     parts = segments(url)
     return F.when(F.size(parts) >= 2, F.try_element_at(parts, F.lit(-2))).otherwise("")
+
+
+def is_menu_link(url: Column, text: Column) -> Column:
+    """A web link with a short name that leads to a vendor: no language switch, social network, service host, asset or template bug."""
+    outside = registrable_domain(part(url, 2)).isin(*SOCIAL) | part(url, 2).rlike(THIRD_PARTY)
+    named = (F.length(text) > 0) & (F.length(text) <= 80) & ~F.lower(text).isin(*LANGUAGE_LABELS)
+    return url.rlike("^https?://") & named & ~outside & ~is_asset(path(url)) & ~is_junk(url)

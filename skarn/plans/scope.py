@@ -22,7 +22,7 @@ def menu_scope(links: DataFrame) -> DataFrame:
     A product word must be in the link or above it and no other word in either; links of footers are left out. Links
     whose text stands above others of the site are hubs. One row per site and page: the longest trail, then the least text.
     """
-    entries = links.where(F.col("region") == "nav").withColumn("key", U.page_key(F.col("href")))
+    entries = links.where((F.col("region") == "nav") & U.is_menu_link(F.col("href"), F.col("text"))).withColumn("key", U.page_key(F.col("href")))
     entries = entries.groupBy("site", "key").agg(F.min(F.struct(-F.size("trail"), F.col("text"), F.col("href"), F.col("trail"))).alias("e")).select("site", "e.text", "e.href", "e.trail")
     words = F.concat_ws(" ", F.array_join("trail", " "), "text")
     kept = entries.where(words.rlike(PRODUCT_WORDS) & ~words.rlike(OTHER_WORDS))

@@ -472,7 +472,7 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
     """Links of stored pages: address, text, menu path, region; junk, assets and documents left out."""
     links = _parsed(spark, d).select("body_id", F.posexplode("parsed.links").alias("ord", "l"))
     u = F.col("l.href")
-    kept = links.where(u.rlike("^https?://") & ~U.is_junk(u) & ~U.is_asset(u) & (F.length("l.text") <= 80))
+    kept = links.where(U.is_menu_link(u, F.col("l.text")))
     return kept.select("body_id", "ord", U.canonical(u).alias("url"), T.clean_link_text(F.col("l.text")).alias("text"), F.array_join("l.trail", " > ").alias("trail"), "l.region")
 
 
@@ -532,7 +532,19 @@ def menu_scope(spark: SparkSession, d: str) -> DataFrame:
     return scope(links)
 
 
-@query(r"SELECT body_id, regexp_matches(html, '" + T.CHALLENGE + "') AS challenge, (lower(substr(html, 1, 2048)) LIKE '%<urlset%' OR lower(substr(html, 1, 2048)) LIKE '%<sitemapindex%' OR lower(substr(html, 1, 2048)) LIKE '%<loc>%') AS sitemap FROM page_bodies")
+_PLATFORM = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(html, '{m}')" for m in marks) + f" THEN '{name}'" for name, marks in R.PLATFORMS.items()) + " ELSE '' END"
+
+
+@query(r"SELECT body_id, " + _PLATFORM + r" AS platform, regexp_matches(html, '" + T.CHALLENGE + "') AS challenge, (lower(substr(html, 1, 2048)) LIKE '%<urlset%' OR lower(substr(html, 1, 2048)) LIKE '%<sitemapindex%' OR lower(substr(html, 1, 2048)) LIKE '%<loc>%') AS sitemap FROM page_bodies")
 def body_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Bodies that are a check on visitors, or a sitemap."""
-    return read_table(spark, d, "page_bodies").select("body_id", T.is_challenge(F.col("html")).alias("challenge"), R.is_sitemap(F.col("html")).alias("sitemap"))
+    return read_table(spark, d, "page_bodies").select("body_id", F.coalesce(R.platform(F.col("html")), F.lit("")).alias("platform"), T.is_challenge(F.col("html")).alias("challenge"), R.is_sitemap(F.col("html")).alias("sitemap"))
+
+
+@query()
+def product_links(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct links of each stored page's content that are no editorial pages, documents or the page itself."""
+    links = _parsed(spark, d).select("body_id", "url", F.explode("parsed.links").alias("l")).where(F.col("l.region") == "body")
+    u = F.col("l.href")
+    kept = links.where(U.is_menu_link(u, F.col("l.text")) & ~U.is_editorial(u) & ~U.is_document(u) & (U.page_key(u) != U.page_key(F.col("url"))))
+    return kept.groupBy("body_id").agg(F.countDistinct(U.page_key(u)).alias("links"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import urllib.robotparser
+from functools import reduce
 from pathlib import Path
 
 import pandas as pd
@@ -13,7 +14,15 @@ from skarn.operators.identity import latest
 from skarn.session import ship_package
 
 # Places where a sitemap may lie if robots.txt names none.
-SITEMAP_PLACES = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap/sitemap.xml", "/sitemap.xml.gz", "/wp-sitemap.xml"]
+SITEMAP_PLACES = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap.xml.gz", "/wp-sitemap.xml", "/sitemap/sitemap-index.xml"]
+# Marks of shop and content systems in a page's markup.
+PLATFORMS = {
+    "typo3": ["/typo3/", "typo3temp", "/_assets/"],
+    "wordpress": ["/wp-content/", "/wp-includes/"],
+    "shopify": ["cdn.shopify.com", "/collections/"],
+    "drupal": ["/sites/default/files/", "drupal.js"],
+    "aem": ["/etc.clientlibs/", "/content/dam/"],
+}
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -88,6 +97,18 @@ def is_sitemap_index(text: Column) -> Column:
     return F.contains(F.lower(text), F.lit("<sitemapindex"))
 
 
+def platform(body: Column) -> Column:
+    """The first system that leaves a mark in the markup; null if none does."""
+    return F.coalesce(*[F.when(reduce(lambda a, b: a | b, [F.contains(body, F.lit(m)) for m in marks]), F.lit(name)) for name, marks in PLATFORMS.items()])
+
+
+def first_valid_sitemap(responses: DataFrame) -> DataFrame:
+    """site, place of the first probed place (site, place, body) whose response is a sitemap, in the order of SITEMAP_PLACES."""
+    order = F.array_position(F.array(*[F.lit(p) for p in SITEMAP_PLACES]), F.col("place"))
+    found = responses.where((order > 0) & is_sitemap(F.col("body")))
+    return found.groupBy("site").agg(F.min(F.struct(order.alias("o"), F.col("place"))).alias("m")).select("site", "m.place")
+
+
 def decode_body(df: DataFrame, body: str, content_type: str, into: str = "text") -> DataFrame:
     """Adds the text of binary bodies: by the header's charset, the page's own, UTF-8, Windows-1252, UTF-8 with replacements."""
     ship_package(df.sparkSession)

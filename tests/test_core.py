@@ -24,6 +24,8 @@ def test_urls(spark):
     assert c(lambda u: U.registrable_domain(U.part(u, 2)), "https://x.shop.co.uk:80/a") == "shop.co.uk"
     assert c(U.is_junk, "https://a.b/null/x") and c(U.is_pagination, "https://a.b/x?page=2") and c(U.is_editorial, "https://a.b/news/1")
     assert c(U.crawl_priority, "https://a.b/products/x") == 0 and c(U.crawl_priority, "https://a.b/career") == 2
+    link = lambda u, t: _one(spark, U.is_menu_link(F.col("c0"), F.col("c1")), u, t)
+    assert link("https://formulatrix.com/p", "Mixers") and not link("https://www.x.com/p", "Mixers") and not link("https://a.b/p", "Deutsch") and not link("https://a.b/undefined/", "P") and not link("https://a.b/x.png", "P")
     assert c(U.slug_words, "https://a.b/x/one-two_three") == "one two three"
 
 
@@ -126,6 +128,9 @@ def test_sources(spark, tmp_path):
     assert _one(spark, R.robots_sitemaps(F.col("c0")), "User-agent: *\nsitemap: https://a.b/s.xml\n") == ["https://a.b/s.xml"]
     entries = _one(spark, R.sitemap_entries(F.col("c0")), "<urlset><url><loc>https://a.b/?a=1&amp;b=2</loc></url><url><loc>u</loc><lastmod>2024</lastmod></url></urlset>")
     assert [tuple(e) for e in entries] == [("https://a.b/?a=1&b=2", "2024"), ("u", None)]
+    assert _one(spark, R.platform(F.col("c0")), "<link href=/wp-content/x>") == "wordpress"
+    probes = spark.createDataFrame([("a", "/sitemap-index.xml", "<urlset>"), ("a", "/sitemap.xml", "Invalid error handler"), ("a", "/sitemap_index.xml", "<sitemapindex>")], "site string, place string, body string")
+    assert [tuple(r) for r in R.first_valid_sitemap(probes).collect()] == [("a", "/sitemap_index.xml")]
     df = spark.createDataFrame([("User-agent: *\nDisallow: /x", "https://a.b/x/1"), ("", "https://a.b/x"), (None, None)], "r string, u string")
     assert [r[0] for r in R.robots_allow(df, "r", "u").select("allowed").collect()] == [False, True, True]
     raw = spark.createDataFrame([(bytearray("é".encode("cp1252")), None), (bytearray("é".encode()), "text/html; charset=utf-8"), (None, None)], "b binary, t string")
