@@ -11,7 +11,7 @@ import re
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.pages import normal, read_page
@@ -180,24 +180,24 @@ def stored_pages(spark, sf_dir: str) -> DataFrame:
     fetches = read_table(spark, sf_dir, "fetch_index").where(F.col("body_path").isNotNull()).groupBy("body_path").agg(F.min("vendor").alias("host"), F.min("url").alias("url"))
     bodies = spread(read_table(spark, sf_dir, "page_bodies").select("body_id", "body_path", "html"))
     pages = with_lines(bodies.join(fetches, "body_path", "left").withColumn("host", F.coalesce("host", F.lit(""))))
-    return cut(pages.select("body_id", "host", "url", "page"))
+    return pages.select("body_id", "host", "url", "page")
 
 
-def main_lines(roles: DataFrame, src, row_id) -> DataFrame:
-    """src, row_id, line_no of every line whose role is main."""
+def main_lines() -> Column:
+    """The numbers of the lines whose role is main."""
     kept = F.filter(F.arrays_zip(F.col("page.lines").alias("l"), F.col("role").alias("r")), lambda x: x["r"] == "m")
-    return roles.select(src.alias("src"), row_id.alias("row_id"), F.explode(kept).alias("x")).select("src", "row_id", F.col("x.l.no").alias("line_no"))
+    return F.transform(kept, lambda x: x["l"]["no"])
 
 
 def p7_found(spark, sf_dir: str) -> DataFrame:
     """src, row_id, line_no of the lines to keep: of stored bodies that are real pages, and of descriptions of several lines."""
-    from skarn.llm.residue import empty_bodies
+    from skarn.llm.residue import empty_pages, judged
 
     pages = stored_pages(spark, sf_dir).select(F.concat(F.lit("b"), "body_id").alias("key"), "host", "url", "page")
     texts = with_lines(spread(described(read_table(spark, sf_dir, "device_records"), "listing_id", "description", "vendor")))
     # What is template is counted among pages and among descriptions of a host apart, the roles of lines over both together.
-    both = pages.unionByName(texts.select(F.concat(F.lit("d"), "listing_id").alias("key"), F.concat(F.lit("d:"), "host").alias("host"), F.lit(None).cast("string").alias("url"), "page"))
-    roles = cut(line_roles(both, "key")).withColumn("body_id", F.substring("key", 2, 20).cast("bigint"))
-    bodies, descriptions = roles.where(F.col("key").startswith("b")), roles.where(F.col("key").startswith("d"))
-    real = bodies.join(empty_bodies(bodies).select("body_id"), "body_id", "left_anti")
-    return main_lines(real, F.lit("body"), F.col("body_id")).unionByName(main_lines(descriptions, F.lit("description"), F.col("body_id")))
+    both = cut(pages.unionByName(texts.select(F.concat(F.lit("d"), "listing_id").alias("key"), F.concat(F.lit("d:"), "host").alias("host"), F.lit(None).cast("string").alias("url"), "page")))
+    each = cut(judged(line_roles(both, "key"), "key", main_lines().alias("kept")))
+    is_body = F.col("key").startswith("b")
+    real = each.join(empty_pages(each.where(is_body), "key"), "key", "left_anti")
+    return real.select(F.when(is_body, "body").otherwise("description").alias("src"), F.substring("key", 2, 20).cast("bigint").alias("row_id"), F.explode("kept").alias("line_no"))

@@ -103,36 +103,42 @@ def _statements(title: str | None, url: str | None, lines, roles) -> tuple[list[
     return found, list(dict.fromkeys(short)), taken, apart
 
 
-def empty_bodies(roles: DataFrame) -> DataFrame:
-    """body_id of the bodies without a real main part.
-
-    roles: line_roles of stored pages. A body is empty if its main part has no sentence or data row left after the
-    detectors, or at most MOST_STATEMENTS that are each known as messages: found alone on several pages and never on a
-    rich one, over all hosts; short rows beside a message, such as a reference number, don't make it a page. A single unknown statement counts as a message if a detector fired beside it, or the
-    title is a message, or neither the title nor the address shares a term with the body and a detector fired.
-    """
+def judged(roles: DataFrame, *keep) -> DataFrame:
+    """The columns keep, and found, short, taken, apart of each page (see _statements)."""
     ship_package(roles.sparkSession)
 
     def gather(title: pd.Series, url: pd.Series, lines: pd.Series, role: pd.Series) -> pd.DataFrame:
         got = [_statements(t, u, x if x is not None else [], r if r is not None else []) for t, u, x, r in zip(title, url, lines, role)]
         return pd.DataFrame(got, columns=["found", "short", "taken", "apart"], index=title.index)
 
-    each = roles.select("body_id", F.pandas_udf(gather, "struct<found array<bigint>, short array<bigint>, taken int, apart boolean>")("page.title", "url", "page.lines", "role").alias("s")).select("body_id", "s.*")
-    each = cut(each.withColumn("n", F.size("found")))
+    kind = "struct<found array<bigint>, short array<bigint>, taken int, apart boolean>"
+    return roles.select(*keep, F.pandas_udf(gather, kind)("page.title", "url", "page.lines", "role").alias("s")).select("*", "s.*").drop("s")
+
+
+def empty_pages(each: DataFrame, key: str) -> DataFrame:
+    """key of the pages without a real main part.
+
+    each: key and what judged adds. A page is empty if its main part has no sentence or data row left after the
+    detectors, or at most MOST_STATEMENTS that are each known as messages: found alone on several pages and never on a
+    rich one, over all hosts; short rows beside a message, such as a reference number, don't make it a page. A single
+    unknown statement counts as a message if a detector fired beside it and the title is a message, or neither the
+    title nor the address shares a term with the body.
+    """
+    each = each.select(key, "found", "short", "taken", "apart", F.size("found").alias("n"))
     known = (
         each.select(F.explode("found").alias("hash"), (F.col("n") <= MOST_STATEMENTS).cast("int").alias("alone"))
         .groupBy("hash").agg(F.sum("alone").alias("alone"), F.sum(1 - F.col("alone")).alias("rich"))
         .where((F.col("alone") >= LEAST_REPEATS) & (F.col("rich") == 0)).select("hash")
     )
-    few = each.where(F.col("n").between(1, MOST_STATEMENTS)).select("body_id", "n", "short", "taken", "apart", F.explode("found").alias("hash"))
+    few = each.where(F.col("n").between(1, MOST_STATEMENTS)).select(key, "n", "short", "taken", "apart", F.explode("found").alias("hash"))
     few = few.withColumn("is_short", F.array_contains("short", F.col("hash")))
-    messages = few.join(known.withColumn("is_message", F.lit(1)), "hash", "left").groupBy("body_id").agg(F.first("n").alias("n"), F.first("taken").alias("taken"), F.first("apart").alias("apart"), F.count("is_message").alias("messages"), F.count_if(F.col("is_message").isNull() & F.col("is_short")).alias("asides"))
+    messages = few.join(known.withColumn("is_message", F.lit(1)), "hash", "left").groupBy(key).agg(F.first("n").alias("n"), F.first("taken").alias("taken"), F.first("apart").alias("apart"), F.count("is_message").alias("messages"), F.count_if(F.col("is_message").isNull() & F.col("is_short")).alias("asides"))
     suspect = messages.where(((F.col("messages") > 0) & (F.col("messages") + F.col("asides") == F.col("n")) & F.col("apart")) | ((F.col("n") == 1) & (F.col("taken") > 0) & F.col("apart")))
-    return each.where(F.col("n") == 0).select("body_id").unionByName(suspect.select("body_id"))
+    return each.where(F.col("n") == 0).select(key).unionByName(suspect.select(key))
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:
     """fetch_id of the fetches whose stored body carries no real page."""
-    roles = cut(line_roles(stored_pages(spark, sf_dir), "body_id"))
-    paths = read_table(spark, sf_dir, "page_bodies").select("body_id", "body_path").join(empty_bodies(roles), "body_id", "left_semi").select("body_path")
+    each = cut(judged(line_roles(cut(stored_pages(spark, sf_dir)), "body_id"), "body_id"))
+    paths = read_table(spark, sf_dir, "page_bodies").select("body_id", "body_path").join(empty_pages(each, "body_id"), "body_id", "left_semi").select("body_path")
     return read_table(spark, sf_dir, "fetch_index").select("fetch_id", "body_path").join(paths, "body_path", "left_semi").select("fetch_id")
