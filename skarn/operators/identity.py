@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.functions.text import attribute_words, group_name, variant_words
-from skarn.session import ship_package
+from skarn.session import cut, ship_package
 
 # Attributes whose difference alone makes no other device, as parts of their names.
 COSMETIC = [
@@ -74,6 +74,8 @@ def name_key(name: Column) -> Column:
 
 #: Records of one name that are folded in one task; a name that more pages share is generic and is salted by its pages.
 MOST_SAME_NAME = 2000
+#: Rows that one task folds at a time.
+BUCKET_ROWS = 10_000
 
 
 def merge_pages(records: DataFrame, most: int = MOST_SAME_NAME) -> DataFrame:
@@ -91,7 +93,10 @@ def merge_pages(records: DataFrame, most: int = MOST_SAME_NAME) -> DataFrame:
     rows = rows.withColumn("key", F.when(name_key(F.col("name")) == "", F.concat(F.lit("#"), F.col("record_id"))).otherwise(name_key(F.col("name"))))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
     rows = rows.join(sizes, "key").withColumn("part", F.when(F.col("n") > most, F.pmod(F.xxhash64("url"), F.ceil(F.col("n") / most))).otherwise(0).cast("int"))
-    return rows.groupBy("key", "part").applyInPandas(_fold, "record_id bigint, name string, url string, specs string, merged string, pages int")
+    rows = cut(rows.select("key", "part", "record_id", "name", "url", "specs"))
+    buckets = max(1, -(-rows.count() // BUCKET_ROWS))  # many small groups go to Python together
+    placed = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "part"), F.lit(buckets)))
+    return placed.groupBy("bucket").applyInPandas(_fold_all, "record_id bigint, name string, url string, specs string, merged string, pages int")
 
 
 def _agree(a: dict, b: dict, same_url: bool, name: str) -> bool:
@@ -101,20 +106,21 @@ def _agree(a: dict, b: dict, same_url: bool, name: str) -> bool:
     return a == b if same_url else bool(re.search(r"\d", name)) or len(shared) >= 3
 
 
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.assign(s=[json.loads(s) for s in rows["specs"]])
-    rows = rows.assign(k=[-len(s) for s in rows["s"]]).sort_values(["k", "record_id"], kind="stable")
-    out, keep = [], None
-    for r in rows.itertuples():
-        if keep is None:
-            keep = [r.record_id, r.name, r.url, dict(r.s), [], 1]
-        elif _agree(keep[3], r.s, keep[2] == r.url, keep[1]):
-            keep[3] = {**r.s, **keep[3]}
-            keep[4].append(str(r.record_id))
-            keep[5] += r.url != keep[2]
+def _fold_all(rows: pd.DataFrame) -> pd.DataFrame:
+    """The folds of all groups of a bucket, one after the other."""
+    ordered = sorted(((r.key, r.part, -len(specs := json.loads(r.specs)), r.record_id, r.name, r.url, specs) for r in rows.itertuples(index=False)), key=lambda r: r[:4])
+    out: list[list] = []
+    keep, group = None, None
+    for key, part, _, record, name, url, specs in ordered:
+        if (key, part) != group:
+            group, keep = (key, part), [record, name, url, specs, [], 1]
+            out.append(keep)
+        elif _agree(keep[3], specs, keep[2] == url, keep[1]):
+            keep[3] = {**specs, **keep[3]}
+            keep[4].append(str(record))
+            keep[5] += url != keep[2]
         else:
-            out.append([r.record_id, r.name, r.url, r.s, [], 1])
-    out.append(keep)
+            out.append([record, name, url, specs, [], 1])
     return pd.DataFrame([(a, b, c, json.dumps(d, sort_keys=True, ensure_ascii=False), ";".join(e), f) for a, b, c, d, e, f in out], columns=["record_id", "name", "url", "specs", "merged", "pages"])
 
 
