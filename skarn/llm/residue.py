@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.boilerplate import line_roles, stored_pages
+from skarn.llm.boilerplate import line_roles, searcher, stored_pages
 from skarn.session import cut, read_table, ship_package
 
 # Placeholders that a template engine should have filled.
@@ -41,6 +41,7 @@ MESSAGE = re.compile(
     r"|^(?:ref|id|incident|ray id|request id|error id|support id)\b[.:#]? ?[a-z0-9-]{2,20}$",
     re.I,
 )
+is_message = searcher(MESSAGE)
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -49,19 +50,15 @@ def latin_share(text: str) -> float:
     return sum(w in LATIN for w in words) / len(words) if len(words) >= 3 else 0.0
 
 
-#: A message that stands for a page is a short statement; a longer one is an article.
-LONGEST_MESSAGE = 240
-
-
 @lru_cache(maxsize=65536)
 def detector(text: str) -> str:
-    """The detector that takes a line for no content: placeholder, filler, message, or an empty text."""
+    """The detector that takes a block, however long, for no content: placeholder, filler, message, or an empty text."""
     bare = PLACEHOLDER.sub(" ", text)
     if bare != text and len(_WORD.findall(bare)) <= 2:
         return "placeholder"
     if FILLER.match(text.strip()) or latin_share(text) >= 0.6:
         return "filler"
-    if len(text) <= LONGEST_MESSAGE and MESSAGE.search(text.strip()):
+    if is_message(text.strip()):
         return "message"
     return ""
 
@@ -80,19 +77,19 @@ def _statements(title: str | None, url: str | None, lines, roles) -> tuple[list[
     blocks: dict[int, list] = {}
     for x in main:
         blocks.setdefault(x["block"], []).append(x)
-    found, short, taken = [], [], 0
+    found, short, taken = {}, [], 0  # found: distinct hashes in their order
     for group in blocks.values():
         statement = group[0]["shape"] in ("s", "v")
         if len(found) > MOST_STATEMENTS:  # the page is real whatever the rest says
             if statement:
-                found.append(group[0]["hash"])
+                found[group[0]["hash"]] = None
         elif detector(text := " ".join(x["text"] for x in group)):
             taken += 1
         elif statement:
-            found.append(group[0]["hash"])
+            found[group[0]["hash"]] = None
             if len(text.split()) <= 4:
                 short.append(group[0]["hash"])
-    found = list(dict.fromkeys(found))
+    found = list(found)
     if len(found) > MOST_STATEMENTS:
         return found, [], taken, False
     words = {w.lower() for x in main for w in _TERM.findall(x["text"])}

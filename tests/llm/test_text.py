@@ -8,9 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skarn.llm.boilerplate import line_features, roles_of
+from skarn.llm.boilerplate import AROUND, is_around, line_features, roles_of
 from skarn.llm.garbled import mend, restore
-from skarn.llm.residue import detector
+from skarn.llm.residue import MESSAGE, _statements, detector, is_message
 from skarn.llm.tokens import VOCABULARIES, compile_vocabulary, decode_column, encode_column
 
 TEXTS = [
@@ -115,6 +115,30 @@ def test_detectors(text, kind):
     assert detector(text) == kind
 
 
+LONG_MESSAGE = "Fatal error: uncaught exception 'PDOException' with message 'could not connect to database' in /srv/shop/lib/db.php:88 stack trace: " + " ".join(f"#{i} /srv/shop/lib/module_{i}.php({i}1): connect()" for i in range(9))
+
+
+def test_long_blocks_are_detected():
+    """Messages and phrases of surroundings count whatever the length of their block, and a sentence counts once."""
+    assert len(LONG_MESSAGE) > 300 and detector(LONG_MESSAGE) == "message"
+    cookies = "We use cookies to give you the best experience on our website. " + "They remember your language and the goods in your cart. " * 6
+    _, lines, trees = line_features(f"<html><body>\n<p>{cookies}</p>\n<p>This sentence is on one page only, it is the content.</p>\n</body></html>")
+    assert roles_of(lines, trees, {}, 1) == ["c", "m"]
+    same = "<p>Our team has been informed of what happened.</p>\n" * 4
+    title, lines, _ = line_features(f"<html><body>\n{same}<p>{LONG_MESSAGE}</p>\n</body></html>")
+    found, _, taken, _ = _statements(title, "https://v/x", lines, ["m"] * len(lines))
+    assert len(found) == 1 and taken == 1
+
+
+def test_searchers_find_what_the_patterns_find():
+    rng = random.Random(8)
+    words = [w for p in (MESSAGE, AROUND) for w in p.pattern.replace("(?:", "|").replace("(", "|").replace(")", "|").replace("?", "").replace("\\b", "").replace("^", "").replace("$", "").split("|") if w] + ["#", "©", "\u0130", "x", "\n"]
+    for _ in range(4000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 6)))
+        text = rng.choice([text, text.upper(), text.title()])
+        assert is_message(text) == bool(MESSAGE.search(text)) and is_around(text) == bool(AROUND.search(text)), text
+
+
 PAGE = """<html><head><title>Korvand Gleam 4752 – counter | shop</title><style>x</style></head><body>
 <nav><ul><li><a href="/a">Home</a></li>
 <li><a href="/b">Cart (0)</a></li></ul></nav>
