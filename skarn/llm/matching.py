@@ -90,10 +90,15 @@ def with_maker(df: DataFrame, makers: list[str]) -> DataFrame:
 
 
 def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(representatives, membership): products whose title, maker, model and category are alike are one class."""
+    """(representatives, membership): products whose title, maker, model and category are alike are one class.
+
+    Without a model number at least two real specifications, all equal, take its place.
+    """
     text = F.concat_ws(" ", "title", "maker", F.concat("series", F.lit(" "), "number", F.lit(" "), "suffix"), F.concat("series", "number"))
-    key = F.xxhash64(F.lower(F.regexp_replace(F.coalesce("title", F.lit("")), r"[\W_]+", " ")), "maker", "series", "number", "suffix", "category")
-    keyed = rows.withColumn("text", text).withColumn("class", F.when(F.col("number") != "", key).otherwise(F.xxhash64("product_id", F.lit("single"))))
+    alike = [F.lower(F.regexp_replace(F.coalesce("title", F.lit("")), r"[\W_]+", " ")), "maker", "series", "number", "suffix", "category"]
+    entries = F.array_sort(F.map_entries(F.from_json("specs", "map<string,string>")))
+    described = F.size(F.filter(entries, lambda e: is_real(e["value"]))) >= 2
+    keyed = rows.withColumn("text", text).withColumn("class", F.when(F.col("number") != "", F.xxhash64(*alike)).when(described, F.xxhash64(*alike, entries)).otherwise(F.xxhash64("product_id", F.lit("single"))))
     representatives = keyed.groupBy("class").agg(*[F.min(c).alias(c) for c in ("text", "title", "maker", "series", "number", "suffix", "category", "specs")])
     return representatives, keyed.select("product_id", "class")
 
@@ -242,10 +247,11 @@ def agreement(a: dict, b: dict) -> tuple[int, int]:
 
 
 def unnumbered_links(pairs: DataFrame, rows: DataFrame, units: dict[str, str]) -> DataFrame:
-    """a, b of classes of which at least one has no model number: its best neighbour by agreeing specifications.
+    """a, b of classes of which at least one has no model number, by agreeing specifications.
 
-    A value that agrees counts 1, one that differs -1.5. The best model must reach 2 and beat every other; 1 is enough
-    if every other model's values contradict.
+    A value that agrees counts 1, one that differs -1.5. The best numbered model must reach 2 and beat every other numbered
+    model; 1 is enough if every other one's values contradict. Neighbours without a number are not rivals: those that
+    score best of all, 2 at least, are linked too, all of a tie, unless that would join two numbered models.
     """
     ship_package(rows.sparkSession)
     either = pairs.where(~F.col("sure"))
@@ -258,12 +264,22 @@ def unnumbered_links(pairs: DataFrame, rows: DataFrame, units: dict[str, str]) -
         return pd.DataFrame(got, columns=["same", "other"], index=sx.index)
 
     scored = one.withColumn("s", F.pandas_udf(score, "struct<same int, other int>")("sx", "sy")).withColumn("score", F.col("s.same") - 1.5 * F.col("s.other"))
-    by_model = scored.groupBy("x", F.when(F.col("numbered"), F.col("model")).otherwise(F.col("y").cast("string")).alias("model")).agg(F.max(F.struct("score", F.col("numbered"), "similarity", "y")).alias("m"))
-    order = Window.partitionBy("x").orderBy(F.desc("m.score"), F.desc("m.numbered"), F.desc("m.similarity"), "m.y")
+    scored = cut(scored.select("x", "y", "model", "numbered", "similarity", "score"))
+    by_model = scored.where("numbered").groupBy("x", "model").agg(F.max(F.struct("score", "similarity", "y")).alias("m"))
+    order = Window.partitionBy("x").orderBy(F.desc("m.score"), F.desc("m.similarity"), "m.y")
     ranked = by_model.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("m.score").over(order)).where(F.col("rank") == 1)
     clear = F.col("next").isNull() | (F.col("m.score") > F.col("next"))
-    alone = (F.col("m.score") >= 1) & (F.coalesce(F.col("next"), F.lit(-9.0)) <= -1.5) & F.col("m.numbered")
-    return ranked.where(clear & ((F.col("m.score") >= 2) | alone)).select(F.col("x").alias("a"), F.col("m.y").alias("b"))
+    alone = (F.col("m.score") >= 1) & (F.coalesce(F.col("next"), F.lit(-9.0)) <= -1.5)
+    chosen = cut(ranked.where(clear & ((F.col("m.score") >= 2) | alone)).select("x", F.col("m.y").alias("y"), "model"))
+    top = scored.groupBy("x").agg(F.max("score").alias("top"))
+    siblings = scored.where(~F.col("numbered") & (F.col("score") >= 2)).join(top, "x").where(F.col("score") == F.col("top")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    own = chosen.select(F.col("x").alias("node"), F.col("model").alias("own"))
+    joined = components(siblings).join(own, "node", "left")
+    mixed = joined.groupBy("component").agg(F.count_distinct("own").alias("models"))
+    facts_of = cut(joined.join(mixed, "component").select("node", "own", "models"))
+    both = siblings.join(facts_of.withColumnRenamed("node", "a").withColumnRenamed("own", "own_a"), "a").join(facts_of.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
+    agreeing = both.where((F.col("models") <= 1) | (F.col("own_a") == F.col("own_b"))).select("a", "b")
+    return chosen.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(agreeing)
 
 
 def mutual(pairs: DataFrame, margin: float = 0.6) -> DataFrame:

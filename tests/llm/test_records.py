@@ -186,6 +186,25 @@ def test_groups(spark):
     assert group_listings(spark.createDataFrame([], RECORDS), {})[0].count() == 0
 
 
+def test_copies_without_a_number(spark):
+    """Listings without a model number that score alike don't keep each other from their numbered model, nor join two models."""
+    rows = []
+
+    def add(pid, name, specs=None, variants=None):
+        rows.append((pid, len(rows), "v", "Korvand", name, "Ball mills", None, specs, variants, _at(1)))
+
+    for i in range(12):
+        add(f"n{i}", f"Helix {1000 + 37 * i} ball mill", {"power": f"{i + 2} kW", "slots": str(20 + i)}, [f"Helix {1000 + 37 * i}-230V"])
+    for k in range(4):
+        add(f"copy{k}", "Korvand Helix ball mill", {"power": "2 kW", "slots": "20"})
+        add(f"sibling{k}", f"Korvand Helix ball mill {'!' * k} offer {'abcd'[k] * 4}", {"slots": "21 x", "power": "3000 W", **({"weight": "9 kg"} if k else {})})
+    groups, _ = group_listings(spark.createDataFrame(rows, RECORDS), {"power": "W"})
+    sets = {}
+    for r in groups.collect():
+        sets.setdefault(r["group"], set()).add(r["product_id"])
+    assert {frozenset(x) for x in sets.values() if len(x) > 1} == {frozenset(["n0", *(f"copy{k}" for k in range(4))]), frozenset(["n1", *(f"sibling{k}" for k in range(4))])}
+
+
 @pytest.mark.parametrize("name", ["p2_found", "p3_found", "p5_found", "p6_found", "p7_found", "p8_ids", "p9_bins", "p10_found"])
 def test_queries_have_their_columns(spark, small, name):
     from skarn.llm.catalog import queries
