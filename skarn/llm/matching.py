@@ -9,6 +9,7 @@ specifications with a neighbour's.
 from __future__ import annotations
 
 import json
+import logging
 import math
 
 import numpy as np
@@ -22,7 +23,8 @@ from skarn.llm.vectors import centroids, train
 from skarn.operators.quantities import read_quantity
 from skarn.session import cut, read_table, ship_package, spread
 
-#: Bounds of what is gathered for fitting: training pairs, vectors for the centroids, queries for tuning the probes, series names.
+log = logging.getLogger(__name__)
+#: Bounds of what is gathered for fitting: training pairs, vectors for the centroids, queries of either kind for tuning the probes, series names.
 TRAIN_PAIRS, CENTROID_SAMPLE, TUNING_QUERIES, MOST_SERIES = 4000, 20_000, 400, 5000
 #: Rows of a search block; long lists are cut into several.
 BLOCK = 2048
@@ -147,14 +149,17 @@ def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     return np.stack(pdf["v"].to_numpy()).astype(np.float32), {c: pdf[c].to_numpy(np.int64) for c in CODES}
 
 
-def tune_probes(index: DataFrame, centre: np.ndarray) -> tuple[int, float]:
-    """(probes, recall): the fewest probes that find RECALL of the exact neighbours of a bounded set of queries.
+def tune_probes(index: DataFrame, centre: np.ndarray) -> tuple[dict[bool, int], dict[bool, float | None]]:
+    """(probes, recall) of queries with a model number (True) and without (False): the fewest probes that find RECALL of
+    the exact neighbours of a bounded set of queries of either kind.
 
-    The exact neighbours come from comparing the queries with every row, block by block where the rows lie.
+    The exact neighbours come from comparing the queries with every row, block by block where the rows lie. A kind whose
+    queries have no neighbour has no recall (None) and takes the other's probes; all lists are probed if neither has.
     """
-    sample = index.where(F.col("model") != 0).orderBy(F.xxhash64("class", F.lit(1))).limit(TUNING_QUERIES).toPandas()
+    numbered = F.col("model") != 0
+    sample = pd.concat([index.where(kind).orderBy(F.xxhash64("class", F.lit(1))).limit(TUNING_QUERIES).toPandas() for kind in (numbered, ~numbered)], ignore_index=True)
     if sample.empty:
-        return len(centre), 1.0
+        return dict.fromkeys((True, False), len(centre)), dict.fromkeys((True, False))
     sc = index.sparkSession.sparkContext
     shared = sc.broadcast((sample, centre))
 
@@ -169,31 +174,38 @@ def tune_probes(index: DataFrame, centre: np.ndarray) -> tuple[int, float]:
                 dv, dc = _arrays(pdf)
                 i, j = np.nonzero((qv @ dv.T >= NEAR) & compatible(qc, dc) & (queries["class"].to_numpy()[:, None] != pdf["class"].to_numpy()[None, :]))
                 home = (dv @ middle.T).argmax(1)
-                yield pd.DataFrame({"place": place[i, home[j]]})
-
-    counts = index.mapInPandas(compare, "place int").groupBy("place").count().orderBy("place").collect()
-    total, seen = sum(r[1] for r in counts), 0
-    for r in counts:
-        seen += r[1]
-        if seen >= RECALL * total:
-            return r[0] + 1, seen / total
-    return min(4, len(centre)), 1.0
-
-
-def search(index: DataFrame, centre: np.ndarray, probes: int) -> DataFrame:
+                yield pd.DataFrame({"numbered": qc["model"][i] != 0, "place": place[i, home[j]]})
+
+    counts = index.mapInPandas(compare, "numbered boolean, place int").groupBy("numbered", "place").count().orderBy("place").collect()
+    probes: dict[bool, int] = {}
+    recall: dict[bool, float | None] = {True: None, False: None}
+    for kind in recall:
+        own = [(r[1], r[2]) for r in counts if r[0] == kind]
+        total, seen = sum(n for _, n in own), 0
+        for place, n in own:
+            seen += n
+            if seen >= RECALL * total:
+                probes[kind], recall[kind] = place + 1, seen / total
+                break
+    most = max(probes.values(), default=len(centre))
+    return {kind: probes.get(kind, most) for kind in recall}, recall
+
+
+def search(index: DataFrame, centre: np.ndarray, probes: dict[bool, int]) -> DataFrame:
     """a, b, similarity of every pair of classes a < b that a probed list joins, at least NEAR alike and not vetoed.
 
-    Rows lie in the list of their nearest centroid; each queries the lists of its nearest centroids. Long lists are cut
+    Rows lie in the list of their nearest centroid; each queries the lists of its nearest centroids, as many as probes has
+    for rows with (True) or without a model number. Long lists are cut
     into blocks of about BLOCK rows, and queries likewise, so that no task holds a whole hot list.
     """
     session = index.sparkSession
     middle = session.sparkContext.broadcast(centre)
 
-    def nearest(v: pd.Series) -> pd.Series:
-        top = np.argsort(-(np.stack(v.to_numpy()).astype(np.float32) @ middle.value.T), axis=1)[:, :probes]
-        return pd.Series(list(top.astype(np.int32)), index=v.index)
+    def nearest(v: pd.Series, model: pd.Series) -> pd.Series:
+        top = np.argsort(-(np.stack(v.to_numpy()).astype(np.float32) @ middle.value.T), axis=1).astype(np.int32)
+        return pd.Series([lists[: probes[m != 0]] for lists, m in zip(top, model)], index=v.index)
 
-    placed = cut(index.withColumn("lists", F.pandas_udf(nearest, "array<int>")("v")))
+    placed = cut(index.withColumn("lists", F.pandas_udf(nearest, "array<int>")("v", "model")))
     sizes = placed.groupBy(F.col("lists")[0].alias("list")).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(BLOCK))).cast("int").alias("blocks"))
     asked = placed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(BLOCK))).cast("int").alias("parts"))
     plan = F.broadcast(sizes.join(asked, "list"))  # one row per centroid
@@ -332,7 +344,9 @@ def group_listings(records: DataFrame, units: dict[str, str]) -> tuple[DataFrame
     links = mutual(pairs.where("sure")).unionByName(unnumbered_links(pairs, representatives, units))
     found = components(links)
     grouped = membership.join(found.withColumnRenamed("node", "class"), "class", "left").select("product_id", F.coalesce("component", "class").alias("group"))
-    return grouped, {"classes": total, "lists": len(centre), "probes": probes, "recall": recall}
+    facts = {"classes": total, "lists": len(centre), "probes": probes[True], "recall": recall[True], "probes_unnumbered": probes[False], "recall_unnumbered": recall[False]}
+    log.info("search: %s", facts)
+    return grouped, facts
 
 
 def _grouped(spark, sf_dir: str) -> tuple[DataFrame, dict]:

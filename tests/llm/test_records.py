@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from skarn.llm.mapping import map_names
-from skarn.llm.matching import agreement, components, group_listings
+from skarn.llm.matching import agreement, components, group_listings, search, tune_probes
 from skarn.llm.models import Names, base_of, maker_key, model_of
 from skarn.llm.packing import best_fit_decreasing, lower_bound, pack, weighted_bound
 from skarn.llm.surviving import discover_truth
@@ -205,6 +205,17 @@ def test_copies_without_a_number(spark):
     assert {frozenset(x) for x in sets.values() if len(x) > 1} == {frozenset(["n0", *(f"copy{k}" for k in range(4))]), frozenset(["n1", *(f"sibling{k}" for k in range(4))])}
 
 
+def test_probes_of_rows_without_a_number(spark):
+    """Numbered rows lie in the lists of their neighbours, the one without a number lies far from its own: both find all."""
+    centre = np.eye(4, dtype=np.float32)
+    rows = [(i, [1.0, 0.3, 0.0, 0.0], 1, 1, 5, 1) for i in range(10)] + [(10 + i, [0.3, 0.4, 0.5, 0.9], 1, 1, 6, 1) for i in range(10)] + [(99, [0.9, 0.5, 0.4, 0.3], 1, 1, 0, 1)]
+    index = spark.createDataFrame(rows, "class long, v array<float>, maker long, series long, model long, category long")
+    probes, recall = tune_probes(index, centre)
+    assert probes[False] == 4 and recall == {True: 1.0, False: 1.0}
+    assert {(r["a"], r["b"]) for r in search(index, centre, probes).collect() if r["b"] == 99} == {(i, 99) for i in range(20)}
+    assert tune_probes(index.where("class = 99"), centre) == ({True: 4, False: 4}, {True: None, False: None})
+
+
 @pytest.mark.parametrize("name", ["p2_found", "p3_found", "p5_found", "p6_found", "p7_found", "p8_ids", "p9_bins", "p10_found"])
 def test_queries_have_their_columns(spark, small, name):
     from skarn.llm.catalog import queries
