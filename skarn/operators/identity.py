@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.functions.text import attribute_words, group_name, variant_words
-from skarn.session import cut, ship_package
+from skarn.session import ship_package
 
 # Attributes whose difference alone makes no other device, as parts of their names.
 COSMETIC = [
@@ -72,31 +72,24 @@ def name_key(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(name), "[®™©]", ""), "[^a-z0-9]+", "")
 
 
-#: Records of one name that are folded in one task; a name that more pages share is generic and is salted by its pages.
-MOST_SAME_NAME = 2000
-#: Rows that one task folds at a time.
-BUCKET_ROWS = 10_000
-
-
-def merge_pages(records: DataFrame, most: int = MOST_SAME_NAME) -> DataFrame:
-    """One row per device listed on several pages: record_id, name, url, specs (JSON), merged (record ids), kept_from.
+def merge_pages(records: DataFrame) -> DataFrame:
+    """One row per device listed on several pages: record_id, name, url, specs (JSON), merged (record ids), pages.
 
     records: record_id, name, url, specs map. Records whose names are equal but for case, spaces and marks are merged into the
     one with most specifications, in that order, if no shared value disagrees and either the name has a digit or three
     values agree; at one URL all must agree. Filling gaps goes on as it merges, so the fold is ordered. Exact copies of
-    a record are one before folding. Names of over most records, which are generic titles, are folded by name and URL
-    host in several tasks; rows with an empty name stay alone.
+    a record are one before folding; their record ids are merged into it. Each name is folded as one sorted stream,
+    however many pages share it; a task holds a batch of rows and the row that it merges into. Rows with an empty name
+    stay alone.
     """
     ship_package(records.sparkSession)
     rows = records.select("record_id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("url", F.lit("")).alias("url"), F.to_json(F.coalesce("specs", F.create_map().cast("map<string,string>"))).alias("specs"))
-    rows = rows.groupBy("name", "url", "specs").agg(F.min("record_id").alias("record_id"), F.count("*").alias("copies"))
+    rows = rows.groupBy("name", "url", "specs").agg(F.min("record_id").alias("record_id"), F.array_sort(F.collect_set("record_id")).alias("ids"))
+    rows = rows.withColumn("copies", F.array_join(F.filter("ids", lambda x: x != F.col("record_id")), ";"))
     rows = rows.withColumn("key", F.when(name_key(F.col("name")) == "", F.concat(F.lit("#"), F.col("record_id"))).otherwise(name_key(F.col("name"))))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
-    rows = rows.join(sizes, "key").withColumn("part", F.when(F.col("n") > most, F.pmod(F.xxhash64("url"), F.ceil(F.col("n") / most))).otherwise(0).cast("int"))
-    rows = cut(rows.select("key", "part", "record_id", "name", "url", "specs"))
-    buckets = max(1, -(-rows.count() // BUCKET_ROWS))  # many small groups go to Python together
-    placed = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "part"), F.lit(buckets)))
-    return placed.groupBy("bucket").applyInPandas(_fold_all, "record_id bigint, name string, url string, specs string, merged string, pages int")
+    rows = rows.withColumn("n", F.size(F.map_keys(F.from_json("specs", "map<string,string>"))))
+    placed = rows.select("key", "n", "record_id", "name", "url", "specs", "copies").repartition("key").sortWithinPartitions("key", F.desc("n"), "record_id")
+    return placed.mapInPandas(_fold_all, "record_id bigint, name string, url string, specs string, merged string, pages int")
 
 
 def _agree(a: dict, b: dict, same_url: bool, name: str) -> bool:
@@ -106,21 +99,29 @@ def _agree(a: dict, b: dict, same_url: bool, name: str) -> bool:
     return a == b if same_url else bool(re.search(r"\d", name)) or len(shared) >= 3
 
 
-def _fold_all(rows: pd.DataFrame) -> pd.DataFrame:
-    """The folds of all groups of a bucket, one after the other."""
-    ordered = sorted(((r.key, r.part, -len(specs := json.loads(r.specs)), r.record_id, r.name, r.url, specs) for r in rows.itertuples(index=False)), key=lambda r: r[:4])
-    out: list[list] = []
+def _fold_all(batches):
+    """The folds of all names of a partition, one after the other; rows come sorted by name."""
     keep, group = None, None
-    for key, part, _, record, name, url, specs in ordered:
-        if (key, part) != group:
-            group, keep = (key, part), [record, name, url, specs, [], 1]
-            out.append(keep)
-        elif _agree(keep[3], specs, keep[2] == url, keep[1]):
-            keep[3] = {**specs, **keep[3]}
-            keep[4].append(str(record))
-            keep[5] += url != keep[2]
-        else:
-            out.append([record, name, url, specs, [], 1])
+    for rows in batches:
+        out: list[list] = []
+        for r in rows.itertuples(index=False):
+            specs, copies = json.loads(r.specs), r.copies.split(";") if r.copies else []
+            if r.key != group:
+                if keep:
+                    out.append(keep)
+                group, keep = r.key, [r.record_id, r.name, r.url, specs, copies, 1]
+            elif _agree(keep[3], specs, keep[2] == r.url, keep[1]):
+                keep[3] = {**specs, **keep[3]}
+                keep[4] += [str(r.record_id), *copies]
+                keep[5] += r.url != keep[2]
+            else:
+                out.append([r.record_id, r.name, r.url, specs, copies, 1])
+        yield _folded(out)
+    if keep:
+        yield _folded([keep])
+
+
+def _folded(out: list[list]) -> pd.DataFrame:
     return pd.DataFrame([(a, b, c, json.dumps(d, sort_keys=True, ensure_ascii=False), ";".join(e), f) for a, b, c, d, e, f in out], columns=["record_id", "name", "url", "specs", "merged", "pages"])
 
 

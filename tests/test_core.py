@@ -79,6 +79,13 @@ def test_pages_merge(spark):
     assert identity.merge_pages(df.limit(0)).count() == 0
 
 
+def test_pages_of_a_frequent_name_merge(spark):
+    """A name of more than 2,000 rows is folded as a whole, and exact copies are in the merged ids."""
+    rows = [(i, "Rock 1000", f"https://v{i % 3}/{i}", {"a": "1", "b": "2"}) for i in range(2100)] + [(9000, "Rock 1000", "https://v0/0", {"a": "1", "b": "2"})]
+    got = identity.merge_pages(spark.createDataFrame(rows, "record_id long, name string, url string, specs map<string,string>")).collect()
+    assert [(r["record_id"], r["pages"], sorted(r["merged"].split(";"))) for r in got] == [(0, 2100, sorted(str(i) for i in [*range(1, 2100), 9000]))]
+
+
 def test_inventory(spark):
     urls = ["https://a.b/p/x/1", "https://a.b/p/x/1?sku=2", "https://a.b/p/x", "https://a.b/p/y/", "https://a.b/p/y/2/3", "https://a.b/news/1", "https://a.b/"]
     df = spark.createDataFrame(list(enumerate(urls)), "o long, url string")
