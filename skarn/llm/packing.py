@@ -8,6 +8,8 @@ one pool, are cut anew by another hash, and are packed again; the better of both
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,25 +45,21 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return bins
 
 
-def lower_bound(sizes: list[int], capacity: int) -> int:
-    """The greatest bound of two families of dual-feasible functions over all thresholds; no packing has fewer bins.
+def lower_bound(count: dict[int, int], capacity: int) -> int:
+    """The greatest bound of two families of dual-feasible functions; no packing of the items (size -> number) has fewer bins.
 
     Threshold family: items over capacity - k count a whole bin, items under k nothing, others their size; items over
     half a bin never share one. Rounding family: f(x) = floor((q + 1) x / C) / q, exact multiples keep x / C.
+    Sums over sizes are prefix sums, so a histogram of n sizes takes n log n steps.
     """
-    positive = [s for s in sizes if s > 0]
-    if not positive:
-        return 1 if sizes else 0
-    count: dict[int, int] = {}
-    for s in positive:
-        count[s] = count.get(s, 0) + 1
-    keys = sorted(count)
-    total = sum(s * n for s, n in count.items())
-    best = -(-total // capacity)
+    keys = sorted(s for s in count if s > 0)
+    if not keys:
+        return 1 if count else 0
     number, weight = [0], [0]
     for s in keys:
         number.append(number[-1] + count[s])
         weight.append(weight[-1] + s * count[s])
+    best = -(-weight[-1] // capacity)
 
     def span(low: int, high: int) -> tuple[int, int]:
         """(items, tokens) of sizes in [low, high]."""
@@ -75,8 +73,9 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
         _, small = span(max(k, 1), half)
         best = max(best, large + middle + max(0, -(-(small - (middle * capacity - middle_sum)) // capacity)))
     for q in range(1, 31):
-        value = sum(n * ((s * q * 1.0 / capacity) if (q + 1) * s % capacity == 0 else (q + 1) * s // capacity) for s, n in count.items()) / q
-        best = max(best, int(-(-(value - 1e-9) // 1)))
+        # In units of 1 / (q * capacity), so that the sum is exact.
+        value = sum(count[s] * (q * s if (q + 1) * s % capacity == 0 else (q + 1) * s // capacity * capacity) for s in keys)
+        best = max(best, -(-value // (q * capacity)))
     return best
 
 
@@ -109,7 +108,7 @@ def pack_partition(rows: pd.DataFrame) -> pd.DataFrame:
     used: dict[int, int] = {}
     for b, s in zip(bins, sizes):
         used[b] = used.get(b, 0) + s
-    return rows.assign(bin=bins, used=[used[b] for b in bins], bins=len(used), bound=lower_bound(sizes, capacity))
+    return rows.assign(bin=bins, used=[used[b] for b in bins], bins=len(used), bound=lower_bound(Counter(sizes), capacity))
 
 
 def pack(lengths: DataFrame, capacities: DataFrame, part_items: int = 20_000, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -123,69 +122,53 @@ def pack(lengths: DataFrame, capacities: DataFrame, part_items: int = 20_000, ro
     """
     ship_package(lengths.sparkSession)
     items = cut(items_of(lengths.where(F.col("doc_id").isNotNull() & F.col("n_tokens").isNotNull()), capacities))
-    largest = items.groupBy("size_id").count().agg(F.max("count")).first()[0] or 0
-    total = items.groupBy("size_id").agg(F.sum("tokens").alias("tokens"))
-    open_, done, seed = items, None, 0
-    kept = None
+    histogram = cut(items.groupBy("size_id", "capacity", "tokens").agg(F.count("*").alias("n")))
+    largest = histogram.groupBy("size_id").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    open_, seed, done, kept, was = items, 0, [], None, {}
+    bins: dict[int, int] = {}
     for turn in range(rounds + 1):
         parts = max(1, -(-largest // part_items))
         placed = open_.withColumn("part", F.pmod(F.xxhash64("doc_id", "chunk", F.lit(seed)), F.lit(parts)).cast("int"))
         packed = cut(placed.groupBy("size_id", "part").applyInPandas(pack_partition, PACKED).withColumn("round", F.lit(turn)))
-        if kept is not None:  # a pool that the exchange made no better keeps its bins
-            better = _bins(packed).withColumnRenamed("n", "now").join(_bins(kept).withColumnRenamed("n", "was"), "size_id").where("now <= was").select("size_id")
-            better = F.broadcast(better)
-            stays = kept.join(better, "size_id", "left_anti")
-            packed = packed.join(better, "size_id", "left_semi")
-            done = stays if done is None else done.unionByName(stays)
         certified = (F.col("bins") == F.col("bound")) | (F.col("used") == F.col("capacity"))
-        closed = packed.where(certified)
-        done = closed if done is None else done.unionByName(closed)
+        # One row per capacity: the bins of this packing, those that stay open, and the items in them.
+        seen = packed.groupBy("size_id", "part", "bin").agg(F.first(certified).alias("closed"), F.count("*").alias("items"))
+        facts = {r[0]: r for r in seen.groupBy("size_id").agg(F.count("*").alias("n"), F.count_if(~F.col("closed")).alias("open"), F.sum(F.when(~F.col("closed"), F.col("items")).otherwise(0)).alias("items")).collect()}
+        if kept is not None:  # a pool that the exchange made no better keeps its bins
+            worse = [s for s, r in facts.items() if r["n"] > was[s]]
+            done.append(kept.where(F.col("size_id").isin(worse)))
+            for s in worse:
+                bins[s] += was[s]
+            facts = {s: r for s, r in facts.items() if s not in worse}
+            packed = packed.where(~F.col("size_id").isin(worse))
+        done.append(packed.where(certified))
+        was = {s: r["open"] for s, r in facts.items() if r["open"]}
+        for s, r in facts.items():
+            bins[s] = bins.get(s, 0) + r["n"] - r["open"]
         kept = packed.where(~certified)
-        sizes = kept.groupBy("size_id").count().agg(F.max("count")).first()[0] or 0
-        if not sizes or turn == rounds:
-            done = done.unionByName(kept)
+        if not was or turn == rounds:
+            done.append(kept)
+            for s, n in was.items():
+                bins[s] += n
             break
-        open_, largest, seed = kept.select(*items.columns), sizes, seed + 1
+        open_, largest, seed = kept.select(*items.columns), max(facts[s]["items"] for s in was), seed + 1
         part_items = max(part_items, min(part_items * 2, 200_000))
-    assignment = done.select("size_id", "doc_id", "chunk", "tokens", F.concat_ws("-", "round", "part", "bin").alias("bin"), F.col("used").alias("bin_tokens"))
-    bounds = _bound(items)
-    certificate = assignment.groupBy("size_id", "bin").agg(F.lit(1).alias("n")).groupBy("size_id").agg(F.sum("n").alias("bins")).join(bounds, "size_id").join(total, "size_id")
+    whole = reduce(DataFrame.unionByName, done)
+    assignment = whole.select("size_id", "doc_id", "chunk", "tokens", F.concat_ws("-", "round", "part", "bin").alias("bin"), F.col("used").alias("bin_tokens"))
+    rows = [(s, n) for s, n in sorted(bins.items())]
+    certificate = _bound(histogram).join(F.broadcast(lengths.sparkSession.createDataFrame(rows, "size_id int, bins bigint")), "size_id")
     return assignment, certificate.select("size_id", "bins", "lower_bound", "tokens")
 
 
-def _bins(packed: DataFrame) -> DataFrame:
-    """n: bins of each size_id."""
-    return packed.groupBy("size_id", "part", "bin").agg(F.lit(1).alias("n")).groupBy("size_id").agg(F.sum("n").alias("n"))
-
-
-def _bound(items: DataFrame) -> DataFrame:
-    """lower_bound of each size_id over all items, from the histogram of sizes (at most capacity + 1 rows each)."""
+def _bound(histogram: DataFrame) -> DataFrame:
+    """lower_bound, tokens of each size_id over all items, from the histogram of sizes (at most capacity + 1 rows each)."""
 
     def bound(rows: pd.DataFrame) -> pd.DataFrame:
         capacity = int(rows["capacity"].iloc[0])
         weights = dict(zip(rows["tokens"].tolist(), rows["n"].tolist()))
-        return pd.DataFrame({"size_id": rows["size_id"].iloc[:1], "lower_bound": [weighted_bound(weights, capacity)]})
+        return pd.DataFrame({"size_id": rows["size_id"].iloc[:1], "lower_bound": [lower_bound(weights, capacity)], "tokens": [int((rows["tokens"] * rows["n"]).sum())]})
 
-    return items.groupBy("size_id", "capacity", "tokens").agg(F.count("*").alias("n")).groupBy("size_id").applyInPandas(bound, "size_id int, lower_bound bigint")
-
-
-def weighted_bound(count: dict[int, int], capacity: int) -> int:
-    """lower_bound of items given as size -> number, without listing them."""
-    unit = {s: n for s, n in count.items() if s > 0}
-    if not unit:
-        return 1 if count else 0
-    keys = sorted(unit)
-    best = -(-sum(s * n for s, n in unit.items()) // capacity)
-    half = capacity // 2
-    over = sum(n for s, n in unit.items() if s > half)
-    best = max(best, over)
-    for k in [s for s in keys if s <= half]:
-        large = sum(n for s, n in unit.items() if s > capacity - k)
-        middle = [(s, n) for s, n in unit.items() if half < s <= capacity - k]
-        small = sum(s * n for s, n in unit.items() if k <= s <= half)
-        free = sum((capacity - s) * n for s, n in middle)
-        best = max(best, large + sum(n for _, n in middle) + max(0, -(-(small - free) // capacity)))
-    return best
+    return histogram.groupBy("size_id").applyInPandas(bound, "size_id int, lower_bound bigint, tokens bigint")
 
 
 def text_lengths(spark, sf_dir: str, name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:

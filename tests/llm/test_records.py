@@ -9,7 +9,7 @@ import pytest
 from skarn.llm.mapping import map_names
 from skarn.llm.matching import agreement, components, group_listings, search, tune_probes
 from skarn.llm.models import Names, base_of, maker_key, model_of
-from skarn.llm.packing import best_fit_decreasing, lower_bound, pack, weighted_bound
+from skarn.llm.packing import best_fit_decreasing, lower_bound, pack
 from skarn.llm.surviving import discover_truth
 from skarn.llm.vectors import centroids, train
 
@@ -94,7 +94,7 @@ def test_packing_bounds():
         used = {b: sum(s for s, x in zip(sizes, bins) if x == b) for b in bins}
         fewest = max(1, _optimum(sizes, capacity))
         counts = {s: sizes.count(s) for s in sizes}
-        assert max(used.values()) <= capacity and lower_bound(sizes, capacity) <= fewest <= len(used) and weighted_bound(counts, capacity) <= fewest
+        assert max(used.values()) <= capacity and lower_bound(counts, capacity) <= fewest <= len(used)
 
 
 def test_packing(spark):
