@@ -2,10 +2,10 @@
 
 The automaton accepts exactly the token sequences that the merges produce. It starts with one state that allows every
 byte; each merge (u, v) -> w then adds one gadget: arcs labelled u lead to a new state, a copy of the old one that no
-longer allows v; w is allowed wherever u is; and arcs labelled w lead where v led before. So the state after a token
-depends on that token alone, a new state differs from its origin by one forbidden label, and the whole automaton is a
-table of merge times. A byte string has exactly one accepted path; it is found by walking positions from left to right,
-since every prefix of an accepted path is accepted. Decoding emits the labels of the arcs.
+longer allows v; w is allowed wherever u is; and arcs labelled w lead where v led before. The merges are compiled one by
+one into a table of states and labels. A byte string has exactly one accepted path; it is found by walking positions
+from left to right with two table lookups a step, since every prefix of an accepted path is accepted. Decoding emits the
+labels of the arcs.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from skarn.session import read_table, ship_package, spread
 VOCABULARIES = os.environ.get("SKARN_TOKENIZERS", "/opt/tokenizers")
 # Fixed value: the pattern that splits text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_FAR = 1 << 40
 
 
 def byte_letters() -> dict[str, int]:
@@ -37,76 +36,89 @@ def byte_letters() -> dict[str, int]:
 
 
 class Automaton:
-    """labels: bytes of each token id; born: merge time of each id (-1: a byte); left, right: the parts it was merged from."""
+    """The compiled table. Every merge must join tokens that can stand side by side when its turn comes, as trained ones do.
+
+    labels: the bytes of each token, the label of its arcs. state: the number of the state to which arcs of a token lead.
+    barred: for each token the states that have no arc for it, one bit per state; tokens with equal sets share one.
+    steps, ends: the byte transitions from the start of a token, (node << 8 | byte) -> node, and the token that a node ends.
+    """
 
     def __init__(self, ids: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         n = max(ids.values()) + 1
         self.labels: list[bytes] = [b""] * n
-        self.born, self.left, self.right = [-1] * n, [-1] * n, [-1] * n
         for label, i in ids.items():
             self.labels[i] = label
-        #: time at which the gadget of a pair of ids was built; the left id's arcs then stop allowing the right id.
-        self.gadgets: dict[int, int] = {}
-        made = {i for label, i in ids.items() if len(label) == 1}
-        for time, (u, v) in enumerate(merges):
-            a, b, w = ids[u], ids[v], ids[u + v]
-            if a not in made or b not in made:
+        gadgets = [(ids[u], ids[v], ids[u + v]) for u, v in merges]
+        leads = {i: 0 for label, i in ids.items() if len(label) == 1}  # token -> state; state 0 is the first one
+        origin = [-1]  # state -> the state that it was copied from
+        for u, v, w in gadgets:
+            if u not in leads or v not in leads:
                 raise ValueError("a merge uses a token that no earlier merge makes")
-            if w not in made:
-                made.add(w)
-                self.born[w], self.left[w], self.right[w] = time, a, b
-            self.gadgets.setdefault(a << 20 | b, time)
-        self.start: dict = {}
-        for i in made:
-            node = self.start
+            if w in leads:
+                raise ValueError("two merges make one token")
+            leads[w] = leads[v]
+            origin.append(leads[u])
+            leads[u] = len(origin) - 1
+        # States that arcs still lead to at the end, numbered so that all copies of a state, and copies of those, are a span.
+        ends = dict.fromkeys(leads.values())
+        copies: list[list[int]] = [[] for _ in origin]
+        for state in range(len(origin) - 1, 0, -1):
+            copies[origin[state]].append(state)
+        first, after, number = [0] * len(origin), [0] * len(origin), 0
+        todo = [(0, False)]
+        while todo:
+            state, left = todo.pop()
+            if left:
+                after[state] = number
+                continue
+            first[state] = number
+            if state in ends:
+                ends[state] = number
+                number += 1
+            todo.append((state, True))
+            todo += [(x, False) for x in copies[state]]
+        barred = dict.fromkeys((i for label, i in ids.items() if len(label) == 1), 0)
+        for made, (u, v, w) in enumerate(gadgets, 1):  # the gadget of this merge made the state of this number
+            barred[v] |= ((1 << (after[made] - first[made])) - 1) << first[made]
+            barred[w] = barred[u]
+        size = number // 8 + 1
+        shared: dict[int, bytes] = {}
+        self.state = [ends[leads[i]] if i in leads else -1 for i in range(n)]
+        self.barred = [shared.setdefault(barred[i], barred[i].to_bytes(size, "little")) if i in barred else b"" for i in range(n)]
+        self.steps: dict[int, int] = {}
+        self.ends: list[int] = [-1]
+        for i in leads:
+            node = 0
             for byte in self.labels[i]:
-                node = node.setdefault(byte, {})
-            node[-1] = i
-        self.arcs: dict[int, bool] = {}
+                new = self.steps.setdefault(node << 8 | byte, len(self.ends))
+                if new == len(self.ends):
+                    self.ends.append(-1)
+                node = new
+            self.ends[node] = i
         self.words: dict[str, list[int]] = {}
 
     def __reduce__(self):
-        new = {k: v for k, v in self.__dict__.items() if k not in ("arcs", "words")}
-        return _load, (new,)
+        return _load, ({k: v for k, v in self.__dict__.items() if k != "words"},)
 
     def follows(self, a: int, b: int) -> bool:
-        """Whether the state after token a has an arc for token b. Entries of the arc table are computed on first use."""
-        key = a << 20 | b
-        known = self.arcs.get(key)
-        if known is None:
-            known = self.arcs[key] = self._follows(a, b)
-        return known
-
-    def _follows(self, a: int, b: int) -> bool:
-        """Goes through the chain of copied states that leads to a's state, from the last gadget back to the first."""
-        until = _FAR
-        while True:
-            born = self.born[a]
-            x, whole = b, _FAR
-            while True:  # up to the gadget that made b, b's left part stood for it
-                time = self.gadgets.get(a << 20 | x)
-                if time is not None and born < time < until and self.born[x] < time <= whole:
-                    return False
-                if self.left[x] < 0:
-                    break
-                x, whole = self.left[x], self.born[x]
-            if born < 0:
-                return True
-            until, a = min(until, born), self.right[a]
+        """Whether the state after token a has an arc for token b."""
+        return not self.barred[b][self.state[a] >> 3] >> (self.state[a] & 7) & 1
 
     def encode_bytes(self, data: bytes) -> list[int]:
         """The accepted path of a byte string."""
+        steps, ends, barred, state = self.steps.get, self.ends, self.barred, self.state
         n = len(data)
         last = [-1] * (n + 1)
         for i in range(n):
-            before = last[i]
-            if i and before < 0:
+            if i and last[i] < 0:
                 continue
-            node, j = self.start, i
-            while j < n and (node := node.get(data[j])) is not None:
+            at = state[last[i]] if i else -1
+            place, bit = at >> 3, 1 << (at & 7)
+            node, j = 0, i
+            while j < n and (node := steps(node << 8 | data[j])) is not None:
                 j += 1
-                token = node.get(-1)
-                if token is not None and last[j] < 0 and (not i or self.follows(before, token)):
+                token = ends[node]
+                if token >= 0 and last[j] < 0 and (not i or not barred[token][place] & bit):
                     last[j] = token
         out = []
         while n:
@@ -142,7 +154,7 @@ _SPLIT = regex.compile(SPLIT)
 
 def _load(state: dict) -> Automaton:
     new = Automaton.__new__(Automaton)
-    new.__dict__.update(state, arcs={}, words={})
+    new.__dict__.update(state, words={})
     return new
 
 

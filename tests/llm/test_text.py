@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skarn.llm.boilerplate import AROUND, is_around, line_features, roles_of
 from skarn.llm.garbled import mend, restore
 from skarn.llm.residue import MESSAGE, _statements, detector, is_message
-from skarn.llm.tokens import VOCABULARIES, compile_vocabulary, decode_column, encode_column
+from skarn.llm.tokens import Automaton, VOCABULARIES, compile_vocabulary, decode_column, encode_column
 
 TEXTS = [
     "Das Gehäuse hält „Störung 5“ – 20 °C für 3 µL", "L’écran règle l’étalonnage à 5 °C", "MANUTENÇÃO: a CÂMARA não está em operação", "Urządzenie utrzymuje temperaturę z dokładnością", "Прибор поддерживает температуру с точностью ±2,6 °C", "内部はステンレス製で清掃が簡単です。温度を保ちます。",
@@ -86,6 +86,36 @@ def test_tokens_equal_the_library(automaton):
         assert automaton.decode(automaton.encode(text)) == text
 
 
+def _merged(word: bytes, merges) -> list[bytes]:
+    """Merges in their order, each from left to right."""
+    parts = [bytes([b]) for b in word]
+    for u, v in merges:
+        i = 0
+        while i + 1 < len(parts):
+            if parts[i] == u and parts[i + 1] == v:
+                parts[i : i + 2] = [u + v]
+            i += 1
+    return parts
+
+
+def test_compiled_table_is_that_of_merging_one_by_one():
+    rng = random.Random(5)
+    for _ in range(60):
+        ids = {bytes([b]): i for i, b in enumerate(b"abc")}
+        merges = []
+        for _ in range(40):
+            u, v = rng.choice(list(ids)), rng.choice(list(ids))
+            if u + v not in ids and _merged(u + v, merges) == [u, v]:  # training merges only pairs that occur
+                merges.append((u, v))
+                ids[u + v] = len(ids)
+        automaton = Automaton(ids, merges)
+        for _ in range(60):
+            word = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 14)))
+            assert automaton.encode_bytes(word) == [ids[p] for p in _merged(word, merges)], (merges, word)
+    with pytest.raises(ValueError):
+        Automaton({b"a": 0, b"b": 1, b"ab": 2}, [(b"a", b"b"), (b"a", b"b")])
+
+
 @needs_vocabulary
 def test_arcs_are_exactly_the_pairs_that_stay(automaton):
     """An arc from a to b is there exactly if encoding the bytes of both gives both."""
