@@ -1,6 +1,7 @@
 """Mapping, surviving values, packing, matching: operators against brute force on small fixtures."""
 
 import datetime
+import math
 import random
 
 import numpy as np
@@ -30,37 +31,73 @@ def _at(day):
     return datetime.datetime(2024, 1, day)
 
 
+STAND_INS = {None, "", " ", "k. A.", "TBD", "--"}
+
+
+def _truth(rows, trust, field, rounds):
+    """{product: lowest listing with the surviving value} of one field, by dictionaries."""
+    kinds = [*sorted(trust), ""]
+    groups = {}
+    for r in rows:
+        if r[0] is not None and (r[field] not in STAND_INS if field == 4 else r[field]):
+            groups.setdefault(r[0], []).append((str(r[field]), r[2] if r[2] in trust else "", r[3], r[1], len(r[field].strip() if field == 4 else r[field])))
+    votes = {}
+    for g, own in groups.items():
+        top, last = max(x[2] for x in own), {}
+        for v, k, at, _, _ in own:
+            last[(v, k)] = max(last.get((v, k), at), at)
+        votes[g] = {v: {} for v, *_ in own}
+        for (v, k), at in last.items():
+            votes[g][v][(k, at == top)] = 1.0 if at == top else 1.0 / max(1, sum(kk == k for _, kk in last) - any(kk == k and t == top for (_, kk), t in last.items()))
+    prior = {(k, new): (trust.get(k, 0.0) + 1) / (max(trust.values(), default=0.0) + 2) for k in kinds for new in (True, False)}
+    reliability = dict(prior)
+
+    def choose():
+        out = {}
+        for g, own in groups.items():
+            key = lambda v: (round(sum(n * -math.log(max(1 - reliability[s], 1e-12)) for s, n in votes[g][v].items()), 9), max(x[4] for x in own if x[0] == v), -min(x[3] for x in own if x[0] == v))
+            out[g] = max(votes[g], key=key)
+        return out
+
+    for _ in range(rounds):
+        got = choose()
+        for s in prior:
+            agree = sum(votes[g][v].get(s, 0.0) for g, v in got.items())
+            total = sum(w.get(s, 0.0) for of in votes.values() for w in of.values())
+            reliability[s] = (agree + 2 * prior[s]) / (total + 2)
+    return {g: min(x[3] for x in groups[g] if x[0] == v) for g, v in choose().items()}, reliability
+
+
 def test_surviving_values(spark):
     rng = random.Random(3)
-    stand_ins = {None, "", " ", "k. A.", "TBD", "--"}
     rows = []
     for p in range(30):
         for k in range(rng.randint(1, 6)):
-            rows.append((f"p{p}", len(rows), rng.choice(["page", "feed", None]), _at(k + 1), rng.choice(["a", "b", *stand_ins]), rng.choice([None, [], ["x"], ["x", "y"]])))
+            rows.append((f"p{p}", len(rows), rng.choice(["page", "feed", None]), _at(k + 1), rng.choice(["a", "b", *STAND_INS]), rng.choice([None, [], ["x"], ["x", "y"]])))
     rows += [("big", 10_000 + i, "feed", _at(1 + i % 20), f"v{i % 7}", ["q"]) for i in range(500)] + [(None, 99_999, "page", _at(1), "a", ["x"])]
     df = spark.createDataFrame(rows, SCRAPE)
-    got, reliability = discover_truth(df, {"page": 4.0, "feed": 2.0}, fields=["category", "tags"])
-    expected = set()
-    for p in {r[0] for r in rows if r[0]}:
-        own = [r for r in rows if r[0] == p]
-        for f, i in (("category", 4), ("tags", 5)):
-            real = [r for r in own if (r[i] not in stand_ins if i == 4 else r[i])]
-            if real:
-                newest = max(r[3] for r in real)
-                tied = {str(r[i]) for r in real if r[3] == newest}
-                if len(tied) == 1:
-                    expected.add((p, f, min(r[1] for r in real if str(r[i]) in tied)))
-    found = {(r["product_id"], r["field"], r["listing_id"]) for r in got.collect()}
-    assert expected <= found and len(found) == len({x[:2] for x in found})
-    assert set(reliability) == {"page", "feed", ""} and all(0 <= v <= 1 for v in reliability.values())
+    trust = {"page": 4.0, "feed": 2.0}
+    for rounds in (0, 1, 4):
+        got, reliability = discover_truth(df, trust, fields=["category"], rounds=rounds, tolerance=0.0)
+        expected, by_source = _truth(rows, trust, 4, rounds)
+        assert {r["product_id"]: r["listing_id"] for r in got.collect()} == expected
+        assert all(abs(reliability[(k, "newest" if new else "older")] - r) < 1e-9 for (k, new), r in by_source.items())
+    got, _ = discover_truth(df, trust, fields=["category", "tags"], least_rows=2)
+    found = [(r["product_id"], r["field"]) for r in got.collect()]
+    several = {p for p in {r[0] for r in rows if r[0]} if sum(r[0] == p for r in rows) > 1}
+    assert len(found) == len(set(found)) and {p for p, _ in found} <= several
     assert discover_truth(df.limit(0), {}, fields=["category"])[0].count() == 0
 
 
-def test_support_decides_where_it_is_preferred(spark):
-    rows = [("p", i, s, _at(d), v, None) for i, (s, d, v) in enumerate([("page", 1, "a"), ("page", 2, "a"), ("feed", 3, "b")])] + [(f"q{i}", 10 + 2 * i + k, s, _at(1), "z", None) for i in range(5) for k, s in enumerate(["page", "page"])]
-    got, reliability = discover_truth(spark.createDataFrame(rows, SCRAPE), {}, fields=["category"], prefer=("support", "newest"))
-    assert {(r["product_id"], r["listing_id"]) for r in got.collect() if r["product_id"] == "p"} == {("p", 0)}
-    assert reliability["page"] > reliability["feed"]
+def test_recency_is_learned_and_decides(spark):
+    """The rounds move rows: where trust says nothing, the newest value wins only once newest claims have proved reliable."""
+    rows = [(f"p{i}", 2 * i + k, "feed", _at(1 + k), ("old", "newer")[k], None) for i in range(40) for k in range(2)]  # newer and more complete
+    rows += [(f"q{i}", 1000 + 2 * i + k, "feed", _at(1 + k), ("longer", "new")[k], None) for i in range(9) for k in range(2)]  # less complete
+    df, trust = spark.createDataFrame(rows, SCRAPE), {"feed": 2.0}
+    survivors = lambda rounds: {r["product_id"]: r["listing_id"] for r in discover_truth(df, trust, fields=["category"], rounds=rounds)[0].collect()}
+    before, after = survivors(0), survivors(20)
+    assert all(before[f"q{i}"] == 1000 + 2 * i and after[f"q{i}"] == 1001 + 2 * i for i in range(9))
+    assert all(before[f"p{i}"] == after[f"p{i}"] == 2 * i + 1 for i in range(40))
 
 
 def _optimum(sizes, capacity):
