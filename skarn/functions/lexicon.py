@@ -1,8 +1,12 @@
 """Spelling-tolerant lookup of short names in a reference list.
 
 A symmetric-delete index answers bounded edit-distance queries by dictionary lookups: every key stands under all texts
-that up to ``MAX_EDITS`` deletions in its first ``PREFIX`` letters give, and a query looks up its own deletions. Hits
-are verified and ranked by a weighted Damerau-Levenshtein distance, then by how often the entry is used.
+that up to ``MAX_EDITS`` deletions in its first ``PREFIX`` letters give, and a query looks up its own deletions. That
+finds every key within so many edits (an exchange of neighbours is one), whatever the length. Hits are verified and
+ranked by a weighted Damerau-Levenshtein distance, then by how often the entry is used.
+
+This module is the shared helper of two operators: the wide tables (problem 4), whose cells carry freely typed
+attributes, and the mapping of names with its report of misses (problem 3).
 """
 
 from __future__ import annotations
@@ -73,14 +77,9 @@ def forms(text: str) -> list[str]:
 
 
 def deletions(text: str, edits: int) -> set[str]:
-    """The text's first PREFIX letters with up to so many letters left out."""
+    """The text's first PREFIX letters with exactly so many letters left out (as many as there are, if there are fewer)."""
     head = text[:PREFIX]
-    out = {head}
-    for n in range(1, min(edits, len(head)) + 1):
-        for gone in combinations(range(len(head)), n):
-            drop = set(gone)
-            out.add("".join(ch for i, ch in enumerate(head) if i not in drop))
-    return out
+    return {"".join(kept) for kept in combinations(head, max(0, len(head) - edits))}
 
 
 def allowed(length: int) -> int:
@@ -88,28 +87,47 @@ def allowed(length: int) -> int:
     return 0 if length < 4 else 1 if length < 6 else 2 if length < 10 else MAX_EDITS
 
 
-def distance(a: str, b: str, most: float) -> float:
-    """Weighted Damerau-Levenshtein distance; transposed and doubled letters cost less. Over most: infinity."""
-    if abs(len(a) - len(b)) > most * 2:
-        return float("inf")
-    before: list[float] = []
-    row = [0.0]
-    for j in range(1, len(b) + 1):
-        row.append(row[-1] + 1)
+#: What an edit costs: any, one of a letter that doubles its neighbour, an exchange of neighbours; the least of them.
+PLAIN, DOUBLED, EXCHANGED = 1.0, 0.6, 0.7
+LEAST = min(PLAIN, DOUBLED, EXCHANGED)
+
+
+def distance(a: str, b: str, most: int) -> float:
+    """Weighted Damerau-Levenshtein distance by an alignment of at most so many edits; infinity if there is none.
+
+    Cells hold the least weight for each number of edits, so that the bound counts edits and the weights only rank.
+    """
+    none = float("inf")
+    if abs(len(a) - len(b)) > most:
+        return none
+    if a == b:
+        return 0.0
+    cost = lambda text, i: DOUBLED if i > 1 and text[i - 1] == text[i - 2] else PLAIN
+    levels, columns = range(most + 1), range(len(b) + 1)
+    row = [[none] * (most + 1) for _ in columns]
+    row[0][0] = 0.0
+    for j in range(1, min(len(b), most) + 1):
+        row[j][j] = row[j - 1][j - 1] + cost(b, j)
+    before: list[list[float]] = []
     for i in range(1, len(a) + 1):
-        new = [row[0] + 1.0]
-        for j in range(1, len(b) + 1):
-            x, y = a[i - 1], b[j - 1]
-            gone = row[j] + (0.6 if i > 1 and x == a[i - 2] else 1.0)
-            come = new[j - 1] + (0.6 if j > 1 and y == b[j - 2] else 1.0)
-            best = min(gone, come, row[j - 1] + (0.0 if x == y else 1.0))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and x != y:
-                best = min(best, before[j - 2] + 0.7)
-            new.append(best)
-        if min(new) > most:
-            return float("inf")
+        x, gone = a[i - 1], cost(a, i)
+        new = [[none] * (most + 1) for _ in columns]
+        if i <= most:
+            new[0][i] = row[0][i - 1] + gone
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            y, come, cell, up, left, corner = b[j - 1], cost(b, j), new[j], row[j], new[j - 1], row[j - 1]
+            swap = before[j - 2] if i > 1 and j > 1 and x != y and x == b[j - 2] and a[i - 2] == y else None
+            for k in levels:
+                best = corner[k] if x == y else none
+                if k:
+                    best = min(best, up[k - 1] + gone, left[k - 1] + come, corner[k - 1] + PLAIN)
+                    if swap is not None:
+                        best = min(best, swap[k - 1] + EXCHANGED)
+                cell[k] = best
+        if all(w == none for cell in new for w in cell):
+            return none
         before, row = row, new
-    return row[-1] if row[-1] <= most else float("inf")
+    return min(row[-1])
 
 
 class Lexicon:
@@ -131,37 +149,46 @@ class Lexicon:
                     self.keys.setdefault(squeezed(folded), ref)
                     if not two:
                         self.words.append((ref, folded.split()))
-        self.index: dict[str, tuple[str, ...]] = {}
+        self.index: dict[str, list[str]] = {}
         for key in self.keys:
-            for part in deletions(key, allowed(len(key))):
-                self.index[part] = (*self.index.get(part, ()), key)
+            for part in {x for edits in range(allowed(len(key)) + 1) for x in deletions(key, edits)}:
+                self.index.setdefault(part, []).append(key)
+        #: names by number of words, place and first letter of a word: an abbreviated word keeps its first letter.
+        self.initials: dict[tuple[int, int, str], list[tuple[int, list[str]]]] = {}
+        for ref, names in self.words:
+            for i, word in enumerate(names):
+                self.initials.setdefault((len(names), i, word[0]), []).append((ref, names))
 
-    def near(self, key: str) -> tuple[float, int, int] | None:
-        """(distance, -uses, id) of the closest entry within the bound of the key's length."""
-        edits = allowed(len(key))
-        best = None
+    def near(self, key: str, best: tuple[float, int, int] | None = None) -> tuple[float, int, int] | None:
+        """(distance, -uses, id) of the closest entry within the bound of the key's length, if closer than best.
+
+        Keys that need k edits share a text with k deletions or fewer and cost at least k times LEAST, so the search ends
+        where that is more than the best found.
+        """
         seen = set()
-        for part in deletions(key, edits):
-            for other in self.index.get(part, ()):
-                if other in seen:
-                    continue
-                seen.add(other)
-                d = distance(key, other, min(edits, allowed(len(other))))
-                if d < float("inf"):
-                    ref = self.keys[other]
-                    found = (d, -self.uses.get(ref, 0), ref)
-                    best = min(best, found) if best else found
+        for edits in range(allowed(len(key)) + 1):
+            if best and edits * LEAST > best[0]:
+                break
+            for part in deletions(key, edits):
+                for other in self.index.get(part, ()):
+                    if other in seen:
+                        continue
+                    seen.add(other)
+                    d = distance(key, other, min(allowed(len(key)), allowed(len(other))))
+                    if d < float("inf"):
+                        ref = self.keys[other]
+                        found = (d, -self.uses.get(ref, 0), ref)
+                        best = min(best, found) if best else found
         return best
 
     def abbreviated(self, form: str) -> tuple[float, int, int] | None:
         """The entry whose words the form abbreviates one by one; a shortened word ends with a dot."""
         words = form.split()
-        if not any(w.endswith(".") for w in words):
+        first = next((i for i, w in enumerate(words) if w.endswith(".")), None)
+        if first is None:
             return None
         best = None
-        for ref, names in self.words:
-            if len(names) != len(words):
-                continue
+        for ref, names in self.initials.get((len(words), first, words[first][0]), ()):
             total = 0.0
             for short, name in zip(words, names):
                 if short.endswith("."):
@@ -185,16 +212,17 @@ class Lexicon:
                 return self.keys[key], 0.0
         best = None
         for form in tries:
-            for found in (self.near(squeezed(form)), self.abbreviated(form)):
-                if found:
-                    best = min(best, found) if best else found
+            best = self.near(squeezed(form), best)
+            found = self.abbreviated(form)
+            if found:
+                best = min(best, found) if best else found
         return (best[2], best[0]) if best else (-1, float("nan"))
 
     def __reduce__(self):
-        return _rebuild, (self.keys, self.words, self.index, self.uses)
+        return _rebuild, (self.keys, self.words, self.index, self.initials, self.uses)
 
 
-def _rebuild(keys, words, index, uses):
+def _rebuild(keys, words, index, initials, uses):
     new = Lexicon([])
-    new.keys, new.words, new.index, new.uses = keys, words, index, uses
+    new.keys, new.words, new.index, new.initials, new.uses = keys, words, index, initials, uses
     return new

@@ -3,7 +3,7 @@ import pickle
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skarn.functions.lexicon import Lexicon, deletions, distance, fold, forms
+from skarn.functions.lexicon import LEAST, Lexicon, allowed, deletions, distance, fold, forms
 
 LEX = Lexicon([(1, ["Drying ovens", "Trockenschränke"]), (2, ["CO2 incubators", "CO₂-Inkubatoren"]), (3, ["Number of channels"]), (4, ["Chamber volume", "Innenraumvolumen"]), (5, ["Net weight"])])
 
@@ -42,13 +42,31 @@ def _plain(a, b):
     return d[len(a), len(b)]
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text("abc", min_size=1, max_size=8), st.text("abc", min_size=1, max_size=8))
-def test_distance_and_shared_deletions(a, b):
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc", min_size=1, max_size=8), st.text("abc", min_size=1, max_size=8), st.integers(0, 4))
+def test_distance_and_shared_deletions(a, b, most):
     plain = _plain(a, b)
-    assert distance(a, b, 99) <= plain
+    assert (distance(a, b, most) < float("inf")) == (plain <= most)
+    if plain <= most:
+        assert LEAST * plain <= distance(a, b, most) <= plain
     if plain <= 2:  # what is within two edits shares a text of up to two deletions each
-        assert deletions(a, 2) & deletions(b, 2)
+        cut = lambda x: deletions(x, 0) | deletions(x, 1) | deletions(x, 2)
+        assert cut(a) & cut(b)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abcd", min_size=1, max_size=20), min_size=1, max_size=12, unique=True), st.text("abcd", min_size=1, max_size=20), st.data())
+def test_lookup_is_that_of_comparing_with_every_key(names, query, data):
+    """Names longer than the indexed beginning too; half of the queries are edited names."""
+    if data.draw(st.booleans()):
+        query = list(data.draw(st.sampled_from(names)))
+        for _ in range(data.draw(st.integers(0, 4))):
+            query.insert(data.draw(st.integers(0, len(query))), data.draw(st.sampled_from("abcd")))
+            del query[data.draw(st.integers(0, len(query) - 1))]
+        query = "".join(query) or "a"
+    lexicon = Lexicon(list(enumerate([n] for n in names)))
+    expected = min(((d, 0, ref) for key, ref in lexicon.keys.items() if (d := distance(query, key, min(allowed(len(query)), allowed(len(key))))) < float("inf")), default=None)
+    assert lexicon.near(query) == expected
 
 
 def test_fold_and_forms():
