@@ -22,9 +22,13 @@ def map_names(values: DataFrame, text: str, refs: DataFrame, ref_id: str, name:
     exact = refs.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("__name")).agg(F.min(ref_id).alias("__exact"))
     uses = values.groupBy(F.col(text).alias("__name")).count().join(F.broadcast(exact), "__name").select("__exact", "count")
     lexicon = lexicon_of(refs, ref_id, name, aliases, uses)
-    rows = spread(values.drop("ref_id", "edits", "exact"))
-    rows = rows.join(F.broadcast(exact), F.col(text) == F.col("__name"), "left").drop("__name")
-    found = rows.withColumn("__found", lookup(rows, F.when(~blank & F.col("__exact").isNull(), F.col(text)), lexicon))
+    rows = values.drop("ref_id", "edits", "exact").join(F.broadcast(exact), F.col(text) == F.col("__name"), "left").drop("__name")
+    # Texts repeat: each is looked up once, and the answers, one row per text, are joined back.
+    open_ = F.when(~blank & F.col("__exact").isNull(), F.col(text))
+    rows = rows.withColumn("__text", open_)
+    texts = spread(rows.where(F.col("__text").isNotNull()).select("__text").distinct())
+    answers = texts.select(F.col("__text").alias("__key"), lookup(texts, F.col("__text"), lexicon).alias("__found"))
+    found = rows.join(answers, F.col("__text") == F.col("__key"), "left").drop("__key", "__text")
     return found.withColumns(
         {
             "ref_id": F.coalesce("__exact", F.col("__found.ref_id")).cast("int"),
