@@ -1,16 +1,22 @@
-"""Problem 5: bodies that hold template residue, filler or a message instead of a page."""
+"""Problem 5: bodies that hold template residue, filler or a message instead of a page.
+
+A body's main part is taken apart into statements, its sentences and data rows. Detectors take placeholders, filler and
+open messages. Which other statements are messages is counted over all hosts: they stand, nearly always, on pages that
+something speaks against - title and address share no word with the text, several addresses of a host were answered with
+the same body, or the fetches were refused - while content stands on pages of its own. A page that has nothing else left
+is no real page.
+"""
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.boilerplate import line_roles, searcher, stored_pages
-from skarn.session import cut, read_table, ship_package
+from skarn.llm.boilerplate import SENTENCE, SHORT, SLUG_TERM, TAKEN, TITLE_TERM, VALUE, line_roles, searcher, stored_pages
+from skarn.session import cut, read_table
 
 # Placeholders that a template engine should have filled.
 PLACEHOLDER = re.compile(
@@ -63,75 +69,51 @@ def detector(text: str) -> str:
     return ""
 
 
-#: A page whose main part has more statements than this is real, whatever they say.
-MOST_STATEMENTS = 3
-#: A statement that stands alone on so many pages, and never on a page with more statements, is a message.
-LEAST_REPEATS = 2
-_TERM = re.compile(r"[^\W\d_]{4,}")
-
-
-def _statements(title: str | None, url: str | None, lines, roles) -> tuple[list[int], list[int], int, bool]:
-    """(hashes of the main part's sentences and data rows that no detector takes, those of them of four words at most, how
-    many a detector takes, whether the title is a message or none of the address's or title's terms are in the body)."""
-    main = [x for x, r in zip(lines, roles) if r == "m"]
-    blocks: dict[int, list] = {}
-    for x in main:
-        blocks.setdefault(x["block"], []).append(x)
-    found, short, taken = {}, [], 0  # found: distinct hashes in their order
-    for group in blocks.values():
-        statement = group[0]["shape"] in ("s", "v")
-        if len(found) > MOST_STATEMENTS:  # the page is real whatever the rest says
-            if statement:
-                found[group[0]["hash"]] = None
-        elif detector(text := " ".join(x["text"] for x in group)):
-            taken += 1
-        elif statement:
-            found[group[0]["hash"]] = None
-            if len(text.split()) <= 4:
-                short.append(group[0]["hash"])
-    found = list(found)
-    if len(found) > MOST_STATEMENTS:
-        return found, [], taken, False
-    words = {w.lower() for x in main for w in _TERM.findall(x["text"])}
-    slug = {w.lower() for w in _TERM.findall((url or "").split("://")[-1].partition("/")[2])}
-    head = re.split(r"\s[-–|@]\s", title or "")[0]
-    terms = {w.lower() for w in _TERM.findall(head)}
-    apart = bool(detector(head)) or bool(MESSAGE.search(head)) or (not (terms & words) and not (slug & words))
-    return found, list(dict.fromkeys(short)), taken, apart
+#: A statement is a message if it was met at so many addresses and this share of them is suspicious.
+LEAST_REPEATS, LEAST_SUSPICIOUS = 3, 0.75
 
 
 def judged(roles: DataFrame, *keep) -> DataFrame:
-    """The columns keep, and found, short, taken, apart of each page (see _statements)."""
-    ship_package(roles.sparkSession)
+    """The columns keep, and of each page: found (hashes of the main part's statements that no detector takes), short (those
+    of at most four words), taken (blocks that a detector takes), apart (the title is taken by a detector, or neither its
+    terms nor the address's are in the main part), addresses and refused.
+    """
+    main = F.filter(F.arrays_zip(F.col("page.hash").alias("hash"), F.col("page.block").alias("block"), F.col("page.code").alias("code"), F.col("role").alias("main")), lambda x: x["main"])
+    has = lambda x, bit: x["code"].bitwiseAND(F.lit(bit)) > 0
+    pages = roles.select(*keep, "page.bad_title", "addresses", "refused", main.alias("main"))
+    statements = F.filter("main", lambda x: has(x, SENTENCE | VALUE) & ~has(x, TAKEN))
+    hashes = lambda of: F.array_distinct(F.transform(of, lambda x: x["hash"]))
+    matched = F.exists("main", lambda x: has(x, TITLE_TERM | SLUG_TERM))
+    return pages.select(
+        *[F.col(c) for c in pages.columns if c not in ("bad_title", "main")], hashes(statements).alias("found"), hashes(F.filter(statements, lambda x: has(x, SHORT))).alias("short"),
+        F.size(F.array_distinct(F.transform(F.filter("main", lambda x: has(x, TAKEN)), lambda x: x["block"]))).alias("taken"), (F.col("bad_title") | ~matched).alias("apart"),
+    )
 
-    def gather(title: pd.Series, url: pd.Series, lines: pd.Series, role: pd.Series) -> pd.DataFrame:
-        got = [_statements(t, u, x if x is not None else [], r if r is not None else []) for t, u, x, r in zip(title, url, lines, role)]
-        return pd.DataFrame(got, columns=["found", "short", "taken", "apart"], index=title.index)
 
-    kind = "struct<found array<bigint>, short array<bigint>, taken int, apart boolean>"
-    return roles.select(*keep, F.pandas_udf(gather, kind)("page.title", "url", "page.lines", "role").alias("s")).select("*", "s.*").drop("s")
+def message_statements(each: DataFrame) -> DataFrame:
+    """hash of the statements that are messages, counted over all pages: each counts as many times as addresses were answered with it."""
+    suspicious = F.col("apart") | (F.col("refused") > 0.5) | (F.col("addresses") > 1)
+    counted = each.select(F.explode("found").alias("hash"), F.greatest("addresses", F.lit(1)).alias("n"), suspicious.alias("suspicious"))
+    counts = counted.groupBy("hash").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("suspicious"), F.col("n")).otherwise(0)).alias("low"))
+    return counts.where((F.col("low") >= LEAST_REPEATS) & (F.col("low") >= F.col("all") * LEAST_SUSPICIOUS)).select("hash")
 
 
 def empty_pages(each: DataFrame, key: str) -> DataFrame:
     """key of the pages without a real main part.
 
-    each: key and what judged adds. A page is empty if its main part has no sentence or data row left after the
-    detectors, or at most MOST_STATEMENTS that are each known as messages: found alone on several pages and never on a
-    rich one, over all hosts; short rows beside a message, such as a reference number, don't make it a page. A single
-    unknown statement counts as a message if a detector fired beside it and the title is a message, or neither the
-    title nor the address shares a term with the body.
+    each: key and what judged adds. A page is empty if its main part has no statement but messages, however many they are,
+    and, if it has statements at all, anything speaks against it: title and address, a refusal, several addresses, a
+    detector. Short rows beside messages, such as a reference number, no more than there are messages, don't make it a page.
     """
-    each = each.select(key, "found", "short", "taken", "apart", F.size("found").alias("n"))
-    known = (
-        each.select(F.explode("found").alias("hash"), (F.col("n") <= MOST_STATEMENTS).cast("int").alias("alone"))
-        .groupBy("hash").agg(F.sum("alone").alias("alone"), F.sum(1 - F.col("alone")).alias("rich"))
-        .where((F.col("alone") >= LEAST_REPEATS) & (F.col("rich") == 0)).select("hash")
-    )
-    few = each.where(F.col("n").between(1, MOST_STATEMENTS)).select(key, "n", "short", "taken", "apart", F.explode("found").alias("hash"))
-    few = few.withColumn("is_short", F.array_contains("short", F.col("hash")))
-    messages = few.join(known.withColumn("is_message", F.lit(1)), "hash", "left").groupBy(key).agg(F.first("n").alias("n"), F.first("taken").alias("taken"), F.first("apart").alias("apart"), F.count("is_message").alias("messages"), F.count_if(F.col("is_message").isNull() & F.col("is_short")).alias("asides"))
-    suspect = messages.where(((F.col("messages") > 0) & (F.col("messages") + F.col("asides") == F.col("n")) & F.col("apart")) | ((F.col("n") == 1) & (F.col("taken") > 0) & F.col("apart")))
-    return each.where(F.col("n") == 0).select(key).unionByName(suspect.select(key))
+    each = each.select(key, "found", "short", "taken", "apart", "addresses", "refused")
+    messages = message_statements(each).withColumn("message", F.lit(1))
+    # Only pages that something speaks against need their statements looked up.
+    against = F.col("apart") | (F.col("refused") > 0.5) | (F.col("addresses") > 1) | (F.col("taken") > 0)
+    suspects = each.where((F.size("found") > 0) & against).select(key, "taken", "short", F.explode("found").alias("hash"))
+    suspects = suspects.select(key, "taken", "hash", F.array_contains("short", F.col("hash")).alias("short"))
+    counted = suspects.join(messages, "hash", "left").groupBy(key).agg(F.first("taken").alias("taken"), F.count("message").alias("known"), F.count_if(F.col("message").isNull() & ~F.col("short")).alias("real"), F.count_if(F.col("message").isNull() & F.col("short")).alias("asides"))
+    empty = counted.where((F.col("real") == 0) & (F.col("asides") <= F.col("known") + F.col("taken")))
+    return each.where(F.size("found") == 0).select(key).unionByName(empty.select(key))
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:

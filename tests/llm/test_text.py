@@ -8,9 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skarn.llm.boilerplate import AROUND, is_around, line_features, roles_of
+from skarn.llm.boilerplate import AROUND, LEAN, NAMED, RECURS, TAKEN, THIN, is_around, page_features, roles_of
 from skarn.llm.garbled import mend, restore
-from skarn.llm.residue import MESSAGE, _statements, detector, is_message
+from skarn.llm.residue import MESSAGE, detector, is_message
 from skarn.llm.tokens import Automaton, VOCABULARIES, compile_vocabulary, decode_column, encode_column
 
 TEXTS = [
@@ -152,12 +152,15 @@ def test_long_blocks_are_detected():
     """Messages and phrases of surroundings count whatever the length of their block, and a sentence counts once."""
     assert len(LONG_MESSAGE) > 300 and detector(LONG_MESSAGE) == "message"
     cookies = "We use cookies to give you the best experience on our website. " + "They remember your language and the goods in your cart. " * 6
-    _, lines, trees = line_features(f"<html><body>\n<p>{cookies}</p>\n<p>This sentence is on one page only, it is the content.</p>\n</body></html>")
-    assert roles_of(lines, trees, {}, 1) == ["c", "m"]
-    same = "<p>Our team has been informed of what happened.</p>\n" * 4
-    title, lines, _ = line_features(f"<html><body>\n{same}<p>{LONG_MESSAGE}</p>\n</body></html>")
-    found, _, taken, _ = _statements(title, "https://v/x", lines, ["m"] * len(lines))
-    assert len(found) == 1 and taken == 1
+    assert _kept(f"<html><body>\n<p>{cookies}</p>\n<p>This sentence is on one page only, it is the content.</p>\n</body></html>") == [3]
+    codes = page_features(f"<html><body>\n<p>{LONG_MESSAGE}</p>\n</body></html>", "https://v/x")[3]
+    assert codes[0] & TAKEN
+
+
+def _kept(source, facts=None, url=None):
+    """Numbers of the main lines of a body, given what is known of hashes."""
+    no, hashes, _, codes, tree, first, last, _, _ = page_features(source, url)
+    return [n for n, main in zip(no, roles_of(no, hashes, codes, list(zip(tree, first, last)), facts or {})) if main]
 
 
 def test_searchers_find_what_the_patterns_find():
@@ -186,20 +189,52 @@ of 264 °C with a repeatability of 1.4 %.</p>
 
 
 def test_main_lines():
-    title, lines, trees = line_features(PAGE)
-    kept = [x["no"] for x, r in zip(lines, roles_of(lines, trees, {}, 1, title)) if r == "m"]
-    assert kept == [6, 7, 8, 9, 10] and trees
+    assert _kept(PAGE) == [6, 7, 8, 9, 10] and page_features(PAGE)[4]
     plain = "Home\nCart (0)\nHome > Products > Counters\nKorvand Gleam 4752\nReadings drift by less than 5.6 % per year on 91 units.\nTouchscreen: yes\nRelated products\nKorvand Cirrus 4606\n© 2024 Shop. All rights reserved."
-    _, lines, trees = line_features(plain)
-    assert [x["no"] for x, r in zip(lines, roles_of(lines, trees, {}, 1)) if r == "m"] == [4, 5, 6]
-    assert line_features("") == ("", [], []) and line_features("<div>" * 500)[1] == []
+    other = page_features(plain)[1][7]
+    assert _kept(plain, {other: NAMED | THIN | LEAN}) == [4, 5, 6]  # the last name is that of another page
+    assert page_features("") == ([], [], [], [], [], [], [], [], False) and page_features("<div>" * 500)[0] == []
 
 
 def test_recurring_subtrees_are_deleted():
-    body = "<html><body>\n<div>\n<div>Alpha beta</div>\n<div>Gamma delta</div>\n</div>\n<p>This sentence is on one page only, it is the content.</p>\n</body></html>"
-    title, lines, trees = line_features(body)
-    facts = {h: {"on_host": 9, "hosts": 1, "around": 0, "main": 0} for h in [trees[0]["hash"]]}
-    assert [x["text"] for x, r in zip(lines, roles_of(lines, trees, facts, 10, title)) if r == "m"] == ["This sentence is on one page only, it is the content."]
+    body = "<html><body>\n<div>\n<div>This sentence is on all pages of the shop, see below.</div>\n<div>Gamma delta</div>\n</div>\n<p>This sentence is on one page only, it is the content.</p>\n</body></html>"
+    tree = page_features(body)[4][0]
+    assert _kept(body) == [3, 4, 6] and _kept(body, {tree: RECURS | LEAN}) == [6]
+
+
+def _site(spark, tmp_path, bodies, log, records=()):
+    """Tables of a site: bodies (html), log (url, index of the body, status)."""
+    rows = [(i, f"b{i}", html) for i, html in enumerate(bodies)]
+    spark.createDataFrame(rows, "body_id long, body_path string, html string").write.parquet(str(tmp_path / "page_bodies.parquet"))
+    fetches = [(i, "v", url, f"b{b}", status, "live") for i, (url, b, status) in enumerate(log)]
+    spark.createDataFrame(fetches, "fetch_id long, vendor string, url string, body_path string, status int, source string").write.parquet(str(tmp_path / "fetch_index.parquet"))
+    spark.createDataFrame(list(records), "listing_id long, vendor string, description string").write.parquet(str(tmp_path / "device_records.parquet"))
+
+
+def test_counts_per_host_decide_the_lines(spark, tmp_path, monkeypatch):
+    """The method moves rows: what recurs on the host's pages is removed by its count alone, without markup or phrases."""
+    from skarn.llm import boilerplate
+
+    page = lambda i: f"<html><body>\n<p>Visit our show room, we are looking forward to meeting you.</p>\n<p>{'abcdefgh'[i]} item keeps the temperature in room {'abcdefgh'[i]} steady.</p>\n</body></html>"
+    _site(spark, tmp_path, [page(i) for i in range(8)], [(f"https://v/item-{i}", i, 200) for i in range(8)])
+    kept = lambda: sorted((r["row_id"], r["line_no"]) for r in boilerplate.p7_found(spark, str(tmp_path)).collect())
+    assert kept() == [(i, 3) for i in range(8)]
+    monkeypatch.setattr(boilerplate, "LEAST_PAGES", 99)
+    assert kept() == [(i, n) for i in range(8) for n in (2, 3)]
+
+
+def test_evidence_of_hosts_finds_messages(spark, tmp_path):
+    """A message that no pattern knows: it is served for several addresses, or on pages apart from their addresses, and never with content."""
+    from skarn.llm.residue import p5_found
+
+    strange = "The gnomes in our cellar have taken the day off today."
+    content = "<html><head><title>Mixer Alpha</title></head><body>\n<h1>Mixer Alpha</h1>\n<p>Mixer alpha stirs small volumes with care, whatever they hold.</p>\n<p>%s</p>\n</body></html>"
+    message = f"<html><head><title>Shop</title></head><body>\n<p>{strange}</p>\n</body></html>"
+    long = "<html><head><title>Shop</title></head><body>\n" + "".join(f"<p>{strange}</p>\n<p>Fatal error: line {w} of the program has failed.</p>\n" for w in ("a", "b", "c", "d", "e", "f")) + "</body></html>"
+    bodies = [content % "It comes with a stand.", content % "The stand is sold apart from it.", message, long]
+    log = [("https://v/mixer-alpha", 0, 200), ("https://v/mixer-alpha-2", 1, 404), ("https://v/pump-a", 2, 200), ("https://v/pump-b", 2, 200), ("https://v/oven-c", 3, 503)]
+    _site(spark, tmp_path, bodies, log)
+    assert sorted(r["fetch_id"] for r in p5_found(spark, str(tmp_path)).collect()) == [2, 3, 4]
 
 
 def test_found_on_pages(spark, tmp_path):
@@ -209,8 +244,9 @@ def test_found_on_pages(spark, tmp_path):
 
     bodies = [(1, "b1", PAGE, 1), (2, "b2", "<html><body><h1>Error 404</h1>\n<p>Page not found</p></body></html>", 1), (3, "b3", None, 0), (4, "b4", "", 0), (5, "b5", PAGE, 1)]
     log = [(1, "v", "https://v/x", "b1"), (2, "v", "https://v/y", "b2"), (2, "v", "https://v/y", "b2"), (3, "v", "https://v/z", "gone"), (4, None, None, None), (5, "v", "https://v/w", "b5")]
+    log = [(*x, 200, "live") for x in log]
     spark.createDataFrame(bodies, "body_id long, body_path string, html string, n_bytes long").write.parquet(str(tmp_path / "page_bodies.parquet"))
-    spark.createDataFrame(log, "fetch_id long, vendor string, url string, body_path string").write.parquet(str(tmp_path / "fetch_index.parquet"))
+    spark.createDataFrame(log, "fetch_id long, vendor string, url string, body_path string, status int, source string").write.parquet(str(tmp_path / "fetch_index.parquet"))
     records = [(1, "v", "Home\nThe sensor board keeps the set temperature of 264 °C.\nAdd to cart   Compare   Share"), (2, "v", "one line"), (3, None, None)]
     spark.createDataFrame(records, "listing_id long, vendor string, description string").write.parquet(str(tmp_path / "device_records.parquet"))
     bad = [r[0] for r in p5_found(spark, str(tmp_path)).collect()]
