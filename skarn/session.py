@@ -37,6 +37,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """The same rows under a plan without statistics, for loops over checkpoints.
+
+    A checkpoint keeps the size that was estimated for its plan. Joins multiply estimates, so in a loop their number of
+    digits would double with every round.
+    """
+    session = df.sparkSession
+    return DataFrame(session._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), session)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package's source to the executors' Python workers, once per application."""
     sc = spark.sparkContext
