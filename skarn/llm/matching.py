@@ -1,16 +1,16 @@
 """Problem 2: listings of one product, grouped across vendors.
 
 Titles are encoded by a contrastively trained subword encoder and searched through an inverted file whose number of
-probes is tuned against exact neighbours. Neighbours whose maker, series, model number or suffix differ are vetoed; what
-is left is grouped over mutual neighbours. Listings without a model number are matched by the agreement of their
-specifications with a neighbour's.
+probes is tuned against exact neighbours. Neighbours are vetoed only by contradiction: another number or suffix, another
+maker. That two titles of one number name one series is left to the encoder, so series that no list knows are matched
+too. What is left is grouped over mutual neighbours. Listings without a model number are searched by the words of their
+title, vetoed by another series or category, and matched by the agreement of their specifications with a neighbour's.
 """
 
 from __future__ import annotations
 
 import json
 import logging
-import math
 
 import numpy as np
 import pandas as pd
@@ -21,21 +21,33 @@ from skarn.functions.cells import is_real
 from skarn.llm.models import Names, base_of, maker_key, model_of
 from skarn.llm.vectors import centroids, train
 from skarn.operators.quantities import read_quantity
-from skarn.session import cut, read_table, ship_package, spread
+from skarn.session import cut, fresh, read_table, ship_package, spread
 
 log = logging.getLogger(__name__)
-#: Bounds of what is gathered for fitting: training pairs, vectors for the centroids, queries of either kind for tuning the probes, series names.
-TRAIN_PAIRS, CENTROID_SAMPLE, TUNING_QUERIES, MOST_SERIES = 4000, 20_000, 400, 5000
-#: Rows of a search block; long lists are cut into several.
-BLOCK = 2048
-#: Least similarity of candidates, and share of exact neighbours that the probes must find.
-NEAR, RECALL = 0.2, 0.995
+#: Bounds of what is gathered for fitting: training pairs, vectors for the centroids (at most), queries of either kind for tuning the probes.
+TRAIN_PAIRS, CENTROID_SAMPLE, TUNING_QUERIES = 4000, 40_000, 400
+#: Series and makers are names of the trade; more distinct ones than this don't fit a broadcast and are an error.
+MOST_NAMES = 300_000
+#: Rows of an inverted list that the number of lists aims at, most lists, and rows of a search block; longer lists are cut into several.
+LIST_ROWS, MOST_LISTS, BLOCK = 32, 4096, 2048
+#: Least similarity of candidates with a model number, by words alone, and share of exact neighbours that the probes must find.
+NEAR, NEAR_WORDS, RECALL = 0.4, 0.5, 0.998
+#: How much less alike than its nearest neighbour a mutual neighbour may be.
+MARGIN = 0.4
 # Categories that say nothing about the product.
 GENERAL = ["other", "products", "laboratory", "shop", "details", "catalogue", "all"]
 
 
+def _names(column: DataFrame, what: str) -> list[str]:
+    """The distinct names of a column; an error over MOST_NAMES."""
+    found = [r[0] for r in column.where(F.col("name") != "").distinct().limit(MOST_NAMES + 1).collect()]
+    if len(found) > MOST_NAMES:
+        raise ValueError(f"over {MOST_NAMES} {what}: shard the records by category")
+    return found
+
+
 def _series(records: DataFrame) -> list[str]:
-    """The series names that designations use at least three times."""
+    """The series names that designations use."""
     ship_package(records.sparkSession)
 
     def bases(variants: pd.Series, designation: pd.Series) -> pd.Series:
@@ -45,8 +57,7 @@ def _series(records: DataFrame) -> list[str]:
             out.append(sorted(found))
         return pd.Series(out, index=variants.index)
 
-    words = records.select(F.explode(F.pandas_udf(bases, "array<string>")("source_variants", F.col("specs")["type_designation"])).alias("s"))
-    return [r[0] for r in words.groupBy("s").count().where(F.col("count") >= 3).orderBy(F.desc("count"), "s").limit(MOST_SERIES).collect()]
+    return _names(records.select(F.explode(F.pandas_udf(bases, "array<string>")("source_variants", F.col("specs")["type_designation"])).alias("name")), "series")
 
 
 def products(records: DataFrame) -> DataFrame:
@@ -77,7 +88,7 @@ def products(records: DataFrame) -> DataFrame:
 
 
 def with_maker(df: DataFrame, makers: list[str]) -> DataFrame:
-    """Fills a missing maker from the title, by the makers that other rows name."""
+    """Fills a missing maker from the title, by the makers that other rows name; their number is bounded by MOST_NAMES."""
     known = df.sparkSession.sparkContext.broadcast(set(makers))
 
     def find(title: pd.Series, maker: pd.Series) -> pd.Series:
@@ -112,189 +123,253 @@ def _training_pairs(rows: DataFrame) -> list[tuple[str, str]]:
 
 
 
-
-
 def hash_code(text: str) -> int:
     import xxhash
 
     return xxhash.xxh64_intdigest(text.encode()) >> 1 if text else 0
 
 
-def vectors_of(rows: DataFrame, encoder) -> DataFrame:
-    """class, v (vector), and the codes that veto: maker, series, model (number and suffix), category; 0 where unknown."""
+def vectors_of(rows: DataFrame, encoder, units: dict[str, str]) -> DataFrame:
+    """class, v and w (vectors of the title, whole and by its words alone, as signed bytes), the codes that veto (maker,
+    series, model, category; 0 where unknown), and keys and values of the comparable specifications."""
     shared = rows.sparkSession.sparkContext.broadcast(encoder)
 
-    def encode(text: pd.Series, maker: pd.Series, series: pd.Series, number: pd.Series, suffix: pd.Series, category: pd.Series) -> pd.DataFrame:
-        v = shared.value.encode(text.tolist())
-        return pd.DataFrame({"v": list(v), "maker": [hash_code(x or "") for x in maker], "series": [hash_code(x or "") for x in series], "model": [hash_code(f"{n}/{x or ''}") if n else 0 for n, x in zip(number, suffix)], "category": [hash_code(x or "") for x in category]}, index=text.index)
+    def encode(text: pd.Series, maker: pd.Series, series: pd.Series, number: pd.Series, suffix: pd.Series, category: pd.Series, specs: pd.Series) -> pd.DataFrame:
+        packed = lambda words: [x.tobytes() for x in np.rint(shared.value.encode(text.tolist(), words) * 127).astype(np.int8)]
+        known = [_facts(x, units) for x in specs]
+        return pd.DataFrame({
+            "v": packed(False), "w": packed(True), "maker": [hash_code(x or "") for x in maker], "series": [hash_code(x or "") for x in series], "model": [hash_code(f"{n}/{x or ''}") if n else 0 for n, x in zip(number, suffix)], "category": [hash_code(x or "") for x in category],
+            "keys": [np.array(list(f), np.int32).tobytes() for f in known], "values": [np.array(list(f.values()), np.float64).tobytes() for f in known],
+        }, index=text.index)
 
-    udf = F.pandas_udf(encode, "struct<v array<float>, maker bigint, series bigint, model bigint, category bigint>")
-    return rows.withColumn("e", udf("text", "maker", "series", "number", "suffix", "category")).select("class", "e.*")
+    udf = F.pandas_udf(encode, "struct<v binary, w binary, maker bigint, series bigint, model bigint, category bigint, keys binary, values binary>")
+    return rows.withColumn("e", udf("text", "maker", "series", "number", "suffix", "category", "specs")).select("class", "e.*")
 
 
-def compatible(q: dict[str, np.ndarray], d: dict[str, np.ndarray]) -> np.ndarray:
-    """Which (query, row) the vetoes let pass: series must agree; maker, model and category must not contradict; a missing maker needs the category."""
-    same = lambda c: q[c][:, None] == d[c][None, :]
-    unknown = lambda c: (q[c][:, None] == 0) | (d[c][None, :] == 0)
-    makers = same("maker") & (q["maker"][:, None] != 0)
-    categories = same("category") & (q["category"][:, None] != 0)
-    ok = same("series") & (q["series"][:, None] != 0) & (same("model") | unknown("model")) & (makers | unknown("maker")) & (categories | unknown("category") | makers & same("model") & ~unknown("model"))
-    return ok & (makers | categories)
+def unpacked(column: pd.Series) -> np.ndarray:
+    """Vectors from signed bytes."""
+    return np.frombuffer(b"".join(column), np.int8).reshape(len(column), -1).astype(np.float32) / 127
 
 
 CODES = ["maker", "series", "model", "category"]
 
 
-def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    return np.stack(pdf["v"].to_numpy()).astype(np.float32), {c: pdf[c].to_numpy(np.int64) for c in CODES}
+def agreeing(maker: np.ndarray, category: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) of rows the vetoes on makers let pass: makers must not contradict; a missing maker needs the category."""
+    same = maker[i] == maker[j]
+    return same & (maker[i] != 0) | ((maker[i] == 0) | (maker[j] == 0)) & (category[i] == category[j]) & (category[i] != 0)
+
 
+def contradicting(codes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) have different codes, both known."""
+    return (codes[i] != codes[j]) & (codes[i] != 0) & (codes[j] != 0)
 
-def tune_probes(index: DataFrame, centre: np.ndarray) -> tuple[dict[bool, int], dict[bool, float | None]]:
-    """(probes, recall) of queries with a model number (True) and without (False): the fewest probes that find RECALL of
-    the exact neighbours of a bounded set of queries of either kind.
 
-    The exact neighbours come from comparing the queries with every row, block by block where the rows lie. A kind whose
-    queries have no neighbour has no recall (None) and takes the other's probes; all lists are probed if neither has.
+def tune_probes(index: DataFrame, centre: np.ndarray, column: str, numbered: bool) -> tuple[int, float | None]:
+    """(probes, recall) of queries with a model number or without: the fewest probes that find RECALL of the exact
+    neighbours of a bounded set of queries.
+
+    The exact neighbours come from comparing the queries with every row, block by block where the rows lie. Without any
+    neighbour there is no recall (None) and all lists are probed.
     """
-    numbered = F.col("model") != 0
-    sample = pd.concat([index.where(kind).orderBy(F.xxhash64("class", F.lit(1))).limit(TUNING_QUERIES).toPandas() for kind in (numbered, ~numbered)], ignore_index=True)
+    kind = F.col("model") != 0 if numbered else F.col("model") == 0
+    sample = index.where(kind).orderBy(F.xxhash64("class", F.lit(1))).limit(TUNING_QUERIES).select("class", column, *CODES).toPandas()
     if sample.empty:
-        return dict.fromkeys((True, False), len(centre)), dict.fromkeys((True, False))
-    sc = index.sparkSession.sparkContext
-    shared = sc.broadcast((sample, centre))
+        return len(centre), None
+    shared = index.sparkSession.sparkContext.broadcast((sample, centre))
 
     def compare(blocks):
         queries, middle = shared.value
-        qv, qc = _arrays(queries)
+        n, qv = len(queries), unpacked(queries[column])
         order = np.argsort(-(qv @ middle.T), axis=1)
         place = np.empty_like(order)
-        np.put_along_axis(place, order, np.arange(order.shape[1])[None, :].repeat(len(order), 0), axis=1)
+        np.put_along_axis(place, order, np.arange(order.shape[1])[None, :].repeat(n, 0), axis=1)
         for pdf in blocks:
             if len(pdf):
-                dv, dc = _arrays(pdf)
-                i, j = np.nonzero((qv @ dv.T >= NEAR) & compatible(qc, dc) & (queries["class"].to_numpy()[:, None] != pdf["class"].to_numpy()[None, :]))
+                dv = unpacked(pdf[column])
+                codes = {c: np.concatenate([queries[c].to_numpy(np.int64), pdf[c].to_numpy(np.int64)]) for c in [*CODES, "class"]}
+                near = qv @ dv.T >= (NEAR if numbered else NEAR_WORDS)
+                if numbered:
+                    near &= codes["model"][:n, None] == codes["model"][None, n:]
+                i, j = np.nonzero(near)
+                ok = agreeing(codes["maker"], codes["category"], i, j + n) & (codes["class"][i] != codes["class"][j + n])
+                if not numbered:
+                    ok &= ~contradicting(codes["series"], i, j + n) & ~contradicting(codes["category"], i, j + n)
                 home = (dv @ middle.T).argmax(1)
-                yield pd.DataFrame({"numbered": qc["model"][i] != 0, "place": place[i, home[j]]})
-
-    counts = index.mapInPandas(compare, "numbered boolean, place int").groupBy("numbered", "place").count().orderBy("place").collect()
-    probes: dict[bool, int] = {}
-    recall: dict[bool, float | None] = {True: None, False: None}
-    for kind in recall:
-        own = [(r[1], r[2]) for r in counts if r[0] == kind]
-        total, seen = sum(n for _, n in own), 0
-        for place, n in own:
-            seen += n
-            if seen >= RECALL * total:
-                probes[kind], recall[kind] = place + 1, seen / total
-                break
-    most = max(probes.values(), default=len(centre))
-    return {kind: probes.get(kind, most) for kind in recall}, recall
-
-
-def search(index: DataFrame, centre: np.ndarray, probes: dict[bool, int]) -> DataFrame:
-    """a, b, similarity of every pair of classes a < b that a probed list joins, at least NEAR alike and not vetoed.
-
-    Rows lie in the list of their nearest centroid; each queries the lists of its nearest centroids, as many as probes has
-    for rows with (True) or without a model number. Long lists are cut
-    into blocks of about BLOCK rows, and queries likewise, so that no task holds a whole hot list.
+                yield pd.DataFrame({"place": place[i[ok], home[j[ok]]]})
+
+    counts = index.select("class", column, *CODES).mapInPandas(compare, "place int").groupBy("place").count().orderBy("place").collect()
+    total, seen = sum(n for _, n in counts), 0
+    for place, n in counts:
+        seen += n
+        if seen >= RECALL * total:
+            return place + 1, seen / total
+    return len(centre), None
+
+
+def _placed(index: DataFrame, centre: np.ndarray, column: str, probes) -> DataFrame:
+    """Adds lists: the numbers of the nearest centroids, the row's own list first. probes: Column, how many."""
+    middle = index.sparkSession.sparkContext.broadcast(centre)
+
+    def nearest(v: pd.Series, n: pd.Series) -> pd.Series:
+        alike = unpacked(v) @ middle.value.T
+        return pd.Series([np.argsort(-a)[:k] if k > 1 else np.array([a.argmax()]) for a, k in zip(alike, n)], index=v.index)
+
+    return index.withColumn("lists", F.pandas_udf(nearest, "array<int>")(column, probes))
+
+
+def _blocks(placed: DataFrame) -> DataFrame:
+    """list, parts: how many blocks of about BLOCK the rows that lie in or ask a list make; one row per centroid."""
+    return F.broadcast(placed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(BLOCK))).cast("int").alias("parts")))
+
+
+def spanning(v: np.ndarray, maker: np.ndarray, category: np.ndarray, home: np.ndarray) -> list[tuple[int, int, float]]:
+    """The most alike pairs that connect rows of one model number as all allowed pairs do: a greatest spanning forest.
+
+    Pairs must be at least NEAR alike, pass the makers' vetoes and have a row whose own list this is. Every row's best
+    pair is among them; n rows give fewer than n pairs, never all.
     """
-    session = index.sparkSession
-    middle = session.sparkContext.broadcast(centre)
-
-    def nearest(v: pd.Series, model: pd.Series) -> pd.Series:
-        top = np.argsort(-(np.stack(v.to_numpy()).astype(np.float32) @ middle.value.T), axis=1).astype(np.int32)
-        return pd.Series([lists[: probes[m != 0]] for lists, m in zip(top, model)], index=v.index)
-
-    placed = cut(index.withColumn("lists", F.pandas_udf(nearest, "array<int>")("v", "model")))
-    sizes = placed.groupBy(F.col("lists")[0].alias("list")).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(BLOCK))).cast("int").alias("blocks"))
-    asked = placed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(BLOCK))).cast("int").alias("parts"))
-    plan = F.broadcast(sizes.join(asked, "list"))  # one row per centroid
-    rows = placed.withColumn("list", F.col("lists")[0]).join(plan, "list")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    queries = placed.withColumn("list", F.explode("lists")).join(plan, "list")
-    queries = queries.withColumn("part", F.pmod(F.xxhash64("class", F.lit(2)), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = [F.col(c).alias(c) for c in ("list", "block", "part", "class", "v", *CODES)]
+    n = len(v)
+    rows = np.arange(n)
+    best, parent, done = np.full(n, -1.0, np.float32), np.full(n, -1), np.zeros(n, bool)
+    out = []
+    for _ in range(n):  # Prim's algorithm, a vector at a time; a new tree begins where nothing is reached
+        at = int(np.where(done, -2.0, best).argmax())
+        if parent[at] >= 0:
+            out.append((int(parent[at]), at, float(best[at])))
+        done[at] = True
+        alike = v @ v[at]
+        here = np.full(n, at)
+        better = ~done & (alike >= NEAR) & (alike > best) & (home | home[at]) & agreeing(maker, category, here, rows)
+        best[better], parent[better] = alike[better], at
+    return out
 
-    def meet(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or d.empty:
-            return pd.DataFrame({"a": [], "b": [], "similarity": [], "sure": []}).astype({"a": "int64", "b": "int64", "similarity": "float32", "sure": "bool"})
-        (qv, qc), (dv, dc) = _arrays(q), _arrays(d)
-        alike = qv @ dv.T
-        i, j = np.nonzero((alike >= NEAR) & compatible(qc, dc))
-        a, b = q["class"].to_numpy()[i], d["class"].to_numpy()[j]
-        keep = a != b
-        sure = (qc["model"][i] != 0) & (dc["model"][j] != 0)
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": alike[i, j][keep], "sure": sure[keep]})
-
-    pairs = queries.select(*columns).groupBy("list", "block", "part").cogroup(rows.select(*columns).groupBy("list", "block", "part")).applyInPandas(meet, "a bigint, b bigint, similarity float, sure boolean")
-    return pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"), F.first("sure").alias("sure"))
-
-
-def _facts(specs: str | None, units: dict[str, str]) -> dict[str, float | str]:
-    """Comparable values of a product's specifications: amounts in common units, whole numbers, yes or no, other texts folded."""
-    out: dict[str, float | str] = {}
+
+def search(index: DataFrame, centre: np.ndarray, probes: int) -> DataFrame:
+    """a, b, similarity of pairs of classes a < b with one model number that a probed list joins, NEAR alike and not vetoed.
+
+    Rows lie in the list of their nearest centroid and query the lists of their probes nearest ones. Inside a list, rows
+    meet by model number: long lists are cut by it, so no pair is compared twice or missed, and each number gives a
+    spanning forest of its rows instead of all its pairs.
+    """
+    placed = cut(_placed(index.where(F.col("model") != 0).select("class", "v", *CODES), centre, "v", F.lit(probes)))
+    rows = placed.select("class", "v", *CODES, F.posexplode("lists").alias("place", "list")).join(_blocks(placed), "list")
+    rows = rows.select("list", F.pmod(F.xxhash64("model"), F.col("parts")).cast("int").alias("part"), "class", "v", *CODES, (F.col("place") == 0).alias("home"))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("model", kind="stable", ignore_index=True)
+        model, home = pdf["model"].to_numpy(), pdf["home"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, model[1:] != model[:-1]])
+        ends = np.r_[starts[1:], len(model)]
+        several = [(a, b) for a, b in zip(starts, ends) if b - a > 1 and home[a:b].any()]
+        if not several:
+            return pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": "int64", "b": "int64", "similarity": "float32"})
+        v, maker, category, names = unpacked(pdf["v"]), pdf["maker"].to_numpy(), pdf["category"].to_numpy(), pdf["class"].to_numpy()
+        got = [(names[a + i], names[a + j], s) for a, b in several for i, j, s in spanning(v[a:b], maker[a:b], category[a:b], home[a:b])]
+        return pd.DataFrame([(min(i, j), max(i, j), s) for i, j, s in got if i != j], columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float32"})
+
+    pairs = rows.groupBy("list", "part").applyInPandas(meet, "a bigint, b bigint, similarity float")
+    return pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
+def _facts(specs: str | None, units: dict[str, str]) -> dict[int, float]:
+    """Comparable values of a product's specifications by a number for the attribute: amounts in common units and whole
+    numbers, which may differ a little; negative numbers are of dates, which must be equal."""
+    out: dict[int, float] = {}
     for key, raw in (json.loads(specs) if specs else {}).items():
-        text = " ".join((raw or "").split())
+        text, number = " ".join((raw or "").split()), hash_code(key) % (1 << 30) + 1
         if key in units:
             got = read_quantity(units[key], False, text, None, None, None)
             if got:
-                out[key] = got[0] * got[3] + got[4]
+                out[number] = got[0] * got[3] + got[4]
         elif text and any(ch.isalnum() for ch in text):
             digits = "".join(ch if ch.isdigit() else " " for ch in text).split()
             if key.endswith("_date") and len(digits) == 3:
-                out[key] = "-".join(sorted(d.lstrip("0") for d in digits))
+                out[-number] = float(hash_code("-".join(sorted(d.lstrip("0") for d in digits))) % (1 << 50))
             elif digits and text.replace(".0", "").replace("up to", "").strip().split()[0].isdigit():
-                out[key] = float(text.replace(".0", "").replace("up to", "").strip().split()[0])
+                out[number] = float(text.replace(".0", "").replace("up to", "").strip().split()[0])
     return out
 
 
-def agreement(a: dict, b: dict) -> tuple[int, int]:
-    """(values that agree, values that differ) of two products; amounts agree within 1.5 %."""
-    same = other = 0
-    for key in a.keys() & b.keys():
-        x, y = a[key], b[key]
-        alike = x == y if isinstance(x, str) or isinstance(y, str) else abs(x - y) <= 0.015 * max(abs(x), abs(y), 1e-9)
-        same, other = same + alike, other + (not alike)
-    return same, other
+def agreement(keys: list, values: list, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values that agree, values that differ) of each pair (i, j) of rows; amounts agree within 1.5 %, dates if they are equal."""
+    names, where = np.unique(np.concatenate([np.empty(0, np.int32), *keys]), return_inverse=True)
+    table = np.full((len(keys), max(1, len(names))), np.nan)
+    owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    table[owner, where] = np.concatenate([np.empty(0), *values])
+    x, y = table[i], table[j]
+    both = ~(np.isnan(x) | np.isnan(y))
+    near = np.abs(x - y) <= np.where(np.r_[names < 0, [False] * (table.shape[1] - len(names))], 0.0, 0.015) * np.maximum(np.maximum(np.abs(x), np.abs(y)), 1e-9)
+    return (both & near).sum(1), (both & ~near).sum(1)
+
+
+SCORED = "x bigint, y bigint, model bigint, similarity float, score double"
 
 
-def unnumbered_links(pairs: DataFrame, rows: DataFrame, units: dict[str, str]) -> DataFrame:
+def search_by_words(index: DataFrame, centre: np.ndarray, probes: int) -> DataFrame:
+    """x, y, model, similarity, score: for each class x without a model number the best neighbours y of a search by words.
+
+    Of a block's rows that are NEAR_WORDS alike and not vetoed, those of the two best scored models are kept, one each,
+    and those without a number that score best of their kind. A value that agrees counts 1, one that differs -1.5. Long
+    lists are cut into blocks of about BLOCK rows, and queries likewise, so that no task holds a whole hot list.
+    """
+    unnumbered = F.col("model") == 0
+    placed = cut(_placed(index.select("class", "w", *CODES, "keys", "values"), centre, "w", F.when(unnumbered, probes).otherwise(1)))
+    columns = [F.col(c).alias(c) for c in ("list", "block", "part", "class", "w", *CODES, "keys", "values")]
+    asking, lying = placed.where(unnumbered), placed.withColumn("list", F.col("lists")[0])
+    blocks = lying.groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(BLOCK))).cast("int").alias("blocks"))
+    plan = F.broadcast(_blocks(asking).join(blocks, "list"))  # one row per centroid
+    rows = lying.join(plan, "list").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    queries = asking.withColumn("list", F.explode("lists")).join(plan, "list")
+    queries = queries.withColumn("part", F.pmod(F.xxhash64("class", F.lit(2)), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def meet(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or d.empty:
+            return pd.DataFrame({"x": [], "y": [], "model": [], "similarity": [], "score": []}).astype({"x": "int64", "y": "int64", "model": "int64", "similarity": "float32", "score": "float64"})
+        n = len(q)
+        alike = unpacked(q["w"]) @ unpacked(d["w"]).T
+        i, j = np.nonzero(alike >= NEAR_WORDS)
+        code = {c: np.concatenate([q[c].to_numpy(np.int64), d[c].to_numpy(np.int64)]) for c in [*CODES, "class"]}
+        ok = agreeing(code["maker"], code["category"], i, j + n) & ~contradicting(code["series"], i, j + n) & ~contradicting(code["category"], i, j + n) & (code["class"][i] != code["class"][j + n])
+        i, j = i[ok], j[ok]
+        of = lambda c, t: [np.frombuffer(x, t) for x in [*q[c], *d[c]]]
+        same, other = agreement(of("keys", np.int32), of("values", np.float64), i, j + n)
+        out = pd.DataFrame({"x": code["class"][i], "y": code["class"][j + n], "model": code["model"][j + n], "similarity": alike[i, j], "score": same - 1.5 * other})
+        out = out.sort_values(["x", "score", "similarity", "y"], ascending=[True, False, False, True], ignore_index=True)
+        numbered = out[out["model"] != 0].drop_duplicates(["x", "model"]).groupby("x").head(2)
+        siblings = out[out["model"] == 0]
+        siblings = siblings[siblings["score"] == siblings.groupby("x")["score"].transform("max")]
+        return pd.concat([numbered, siblings], ignore_index=True)
+
+    return queries.select(*columns).groupBy("list", "block", "part").cogroup(rows.select(*columns).groupBy("list", "block", "part")).applyInPandas(meet, SCORED)
+
+
+def unnumbered_links(scored: DataFrame) -> DataFrame:
     """a, b of classes of which at least one has no model number, by agreeing specifications.
 
-    A value that agrees counts 1, one that differs -1.5. The best numbered model must reach 2 and beat every other numbered
-    model; 1 is enough if every other one's values contradict. Neighbours without a number are not rivals: those that
-    score best of all, 2 at least, are linked too, all of a tie, unless that would join two numbered models.
+    The best numbered model must reach 2 and beat every other numbered model; 1 is enough if every other one's values
+    contradict. Neighbours without a number are not rivals: those that score best of all, 2 at least, are linked too, all
+    of a tie, unless that would join two numbered models.
     """
-    ship_package(rows.sparkSession)
-    either = pairs.where(~F.col("sure"))
-    directed = either.select(F.col("a").alias("x"), F.col("b").alias("y"), "similarity").unionByName(either.select(F.col("b").alias("x"), F.col("a").alias("y"), "similarity"))
-    facts = rows.select("class", "specs", F.concat_ws("/", "number", "suffix").alias("model"), (F.col("number") != "").alias("numbered"))
-    one = directed.join(facts.where(~F.col("numbered")).select(F.col("class").alias("x"), F.col("specs").alias("sx")), "x").join(facts.select(F.col("class").alias("y"), F.col("specs").alias("sy"), "model", "numbered"), "y")
-
-    def score(sx: pd.Series, sy: pd.Series) -> pd.DataFrame:
-        got = [agreement(_facts(a, units), _facts(b, units)) for a, b in zip(sx, sy)]
-        return pd.DataFrame(got, columns=["same", "other"], index=sx.index)
-
-    scored = one.withColumn("s", F.pandas_udf(score, "struct<same int, other int>")("sx", "sy")).withColumn("score", F.col("s.same") - 1.5 * F.col("s.other"))
-    scored = cut(scored.select("x", "y", "model", "numbered", "similarity", "score"))
-    by_model = scored.where("numbered").groupBy("x", "model").agg(F.max(F.struct("score", "similarity", "y")).alias("m"))
-    order = Window.partitionBy("x").orderBy(F.desc("m.score"), F.desc("m.similarity"), "m.y")
+    scored = cut(scored)
+    by_model = scored.where(F.col("model") != 0).groupBy("x", "model").agg(F.max(F.struct("score", "similarity", "y")).alias("m"))
+    order = Window.partitionBy("x").orderBy(F.desc("m.score"), F.desc("m.similarity"), "m.y")  # at most two rows a list that x probes
     ranked = by_model.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("m.score").over(order)).where(F.col("rank") == 1)
     clear = F.col("next").isNull() | (F.col("m.score") > F.col("next"))
     alone = (F.col("m.score") >= 1) & (F.coalesce(F.col("next"), F.lit(-9.0)) <= -1.5)
     chosen = cut(ranked.where(clear & ((F.col("m.score") >= 2) | alone)).select("x", F.col("m.y").alias("y"), "model"))
     top = scored.groupBy("x").agg(F.max("score").alias("top"))
-    siblings = scored.where(~F.col("numbered") & (F.col("score") >= 2)).join(top, "x").where(F.col("score") == F.col("top")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    siblings = scored.where((F.col("model") == 0) & (F.col("score") >= 2)).join(top, "x").where(F.col("score") == F.col("top")).select(F.col("x").alias("a"), F.col("y").alias("b"))
     own = chosen.select(F.col("x").alias("node"), F.col("model").alias("own"))
     joined = components(siblings).join(own, "node", "left")
     mixed = joined.groupBy("component").agg(F.count_distinct("own").alias("models"))
     facts_of = cut(joined.join(mixed, "component").select("node", "own", "models"))
     both = siblings.join(facts_of.withColumnRenamed("node", "a").withColumnRenamed("own", "own_a"), "a").join(facts_of.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
-    agreeing = both.where((F.col("models") <= 1) | (F.col("own_a") == F.col("own_b"))).select("a", "b")
-    return chosen.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(agreeing)
+    agreeing_ = both.where((F.col("models") <= 1) | (F.col("own_a") == F.col("own_b"))).select("a", "b")
+    return chosen.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(agreeing_)
 
 
-def mutual(pairs: DataFrame, margin: float = 0.6) -> DataFrame:
+def mutual(pairs: DataFrame, margin: float = MARGIN) -> DataFrame:
     """Pairs in which each is a neighbour of the other: no further than margin below its nearest one."""
     sides = pairs.select(F.col("a").alias("x"), "similarity").unionByName(pairs.select(F.col("b").alias("x"), "similarity"))
     top = sides.groupBy("x").agg(F.max("similarity").alias("top"))
@@ -302,50 +377,65 @@ def mutual(pairs: DataFrame, margin: float = 0.6) -> DataFrame:
     return near.where((F.col("similarity") >= F.col("ta") - margin) & (F.col("similarity") >= F.col("tb") - margin)).select("a", "b")
 
 
-def components(links: DataFrame, most_rounds: int = 30) -> DataFrame:
-    """node, component (its least node) of the graph of the links, by passing on least labels and shortening the way."""
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
-    for _ in range(most_rounds):
-        around = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = label.join(around, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("next"), "component")
-        jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        new = cut(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("component"), F.col("component").alias("old")))
-        moved = new.where(F.col("component") != F.col("old")).limit(1).count()
-        label = new.select("node", "component")
-        if not moved:
-            break
-    return label
+def components(links: DataFrame) -> DataFrame:
+    """node, component (its least node) of the graph of the links.
+
+    Every node joins its least neighbour, if that is less than itself, and the links are drawn anew between what the nodes
+    joined, until none is left. Each round leaves at most half of the nodes that have links, so the rounds grow with the
+    logarithm of the graph, whatever its shape, and their links shrink.
+    """
+    edges = fresh(cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()))
+    least = lambda e: e.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("to"))
+    label = fresh(cut(least(edges).withColumnRenamed("to", "component")))
+    while True:
+        joined = least(edges)
+        ends = edges.join(joined.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(joined.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        edges = fresh(cut(ends.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()))
+        if edges.isEmpty():
+            return label
+        label = fresh(cut(label.join(least(edges).select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))))
+
+
+def _lists(index: DataFrame, column: str, total: int) -> np.ndarray:
+    """Centroids, one per LIST_ROWS rows and at most MOST_LISTS, from a bounded sample."""
+    lists = max(4, min(MOST_LISTS, total // LIST_ROWS))
+    wanted = min(CENTROID_SAMPLE, 10 * lists)
+    share = min(1.0, wanted * 1.2 / total)
+    sample = index.select(column) if share >= 1 else index.where(F.pmod(F.xxhash64("class", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000).select(column)
+    return centroids(unpacked(sample.limit(wanted).toPandas()[column]), lists)
 
 
 def group_listings(records: DataFrame, units: dict[str, str]) -> tuple[DataFrame, dict]:
     """(product_id, group of every product; facts of the search).
 
     records: product_id, name, manufacturer, category, description, specs, source_variants, scraped_at. Products alike in
-    title, maker, model and category are one class and are searched once. Products without a title or a known series stay
-    alone. Every row is indexed; the encoder, the centroids and the probes are fitted on bounded samples (TRAIN_PAIRS,
-    CENTROID_SAMPLE, TUNING_QUERIES). An empty table gives an empty result.
+    title, maker, model and category are one class and are searched once. Products without a title or any word in common
+    with another stay alone. Every row is indexed; the encoder, the centroids and the probes are fitted on bounded samples
+    (TRAIN_PAIRS, CENTROID_SAMPLE, TUNING_QUERIES). An empty table gives an empty result.
     """
     rows = cut(products(records))
-    makers = [r[0] for r in rows.where("maker != ''").groupBy("maker").count().where("count >= 2").orderBy(F.desc("count")).limit(MOST_SERIES).select("maker").collect()]
+    makers = _names(rows.select(F.col("maker").alias("name")), "makers")
     representatives, membership = classes(cut(with_maker(rows, makers)))
     representatives, membership = cut(representatives), cut(membership)
     encoder = train(_training_pairs(representatives))
-    index = cut(vectors_of(spread(representatives), encoder))
-    total = index.count()
-    if total == 0:
-        return membership.select("product_id", F.col("class").alias("group")), {"classes": 0}
-    share = min(1.0, CENTROID_SAMPLE * 1.2 / total)
-    sample = index.select("v") if share >= 1 else index.where(F.pmod(F.xxhash64("class", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000).select("v")
-    vectors = np.stack(sample.limit(CENTROID_SAMPLE).toPandas()["v"].to_numpy()).astype(np.float32)
-    centre = centroids(vectors, max(4, min(4096, int(math.sqrt(total) / 2))))
-    probes, recall = tune_probes(index, centre)
-    pairs = cut(search(index, centre, probes))
-    links = mutual(pairs.where("sure")).unionByName(unnumbered_links(pairs, representatives, units))
-    found = components(links)
-    grouped = membership.join(found.withColumnRenamed("node", "class"), "class", "left").select("product_id", F.coalesce("component", "class").alias("group"))
-    facts = {"classes": total, "lists": len(centre), "probes": probes[True], "recall": recall[True], "probes_unnumbered": probes[False], "recall_unnumbered": recall[False]}
+    index = cut(vectors_of(spread(representatives), encoder, units))
+    kinds = {r[0]: r[1] for r in index.groupBy(F.col("model") != 0).count().collect()}
+    facts: dict = {"classes": sum(kinds.values())}
+    links = None
+    for numbered, column, find in ((True, "v", lambda c, p: mutual(cut(search(index, c, p)))), (False, "w", lambda c, p: unnumbered_links(search_by_words(index, c, p)))):
+        if not kinds.get(numbered):
+            continue
+        lying = index.where(F.col("model") != 0) if numbered else index
+        centre = _lists(lying, column, kinds[True] if numbered else facts["classes"])
+        probes, recall = tune_probes(lying, centre, column, numbered)
+        name = "numbered" if numbered else "unnumbered"
+        facts |= {f"lists_{name}": len(centre), f"probes_{name}": probes, f"recall_{name}": recall}
+        found = find(centre, probes)
+        links = found if links is None else links.unionByName(found)
     log.info("search: %s", facts)
+    if links is None:
+        return membership.select("product_id", F.col("class").alias("group")), facts
+    grouped = membership.join(components(links).withColumnRenamed("node", "class"), "class", "left").select("product_id", F.coalesce("component", "class").alias("group"))
     return grouped, facts
 
 

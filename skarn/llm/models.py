@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
+from skarn.functions.lexicon import distance
+
 _VOLTAGE = re.compile(r"(?:[-\s]*(?:UL|CE|CSA))*[-\s]*\b\d{3}\s?V\b(?:[\s-]*(?:UL|CE|CSA))*\s*$")
 _BASE = re.compile(r"^([^\W\d_]{3,})[\s\-–]*(\d{3,5})[\s\-–]*([A-Za-z]*)$")
 # Openings of sentences that name another model than the one sold.
@@ -13,6 +15,15 @@ _LEGAL = re.compile(r"\b(?:gmbh|ltd|inc|s\.?a\.?|ag|co|kg|llc|srl|bv|plc|corp)\b
 _BETWEEN = r"(?:[\s\-–]*\b(?:no|nr|type|typ|serie|series|model|modell|modèle|modelo|baureihe|n°|nº)\b\.?)?[\s\-–.:]*"
 _SUFFIX = r"(?:[\s\-–]{0,2}(plus|pro|[A-Z]{1,2}))?(?![\w])"
 
+_NAME = re.compile(r"[^\W\d_]{3,}")
+_BEHIND = re.compile(_BETWEEN + r"(\d{3,5}|\d{2}-\d{2}(?!\d))" + _SUFFIX.replace("[A-Z]{1,2}", "[a-z]{1,2}"))
+_BEFORE = re.compile(r"(?<![\w.,])(\d{3,5})(?:[\s\-–]{0,2}(plus|[a-z]{1,2}))?[\s\-–]+([^\W\d_]{3,})\b")
+_YEAR = re.compile(r"(?:19|20)\d\d$")
+_STEM = re.compile(r"(?<![\w])([^\W\d_]{3})[\s\-–]?(\d{3,5})" + _SUFFIX.replace("[A-Z]{1,2}", "[a-z]{1,2}"))
+# Words before a number that are no name, and units that make a number an amount.
+_NO_NAMES = {"type", "typ", "serie", "series", "model", "modell", "modele", "modelo", "baureihe", "from", "with", "and", "bis", "max", "min", "art", "sku"}
+_AMOUNT = re.compile(r"[.,]\d|\s?(?:ml|l|w|v|hz|kw|rpm|mm|cm|kg|g|bar|mbar|min|x|%|°|µ)(?![a-z])")
+
 
 def plain(text: str) -> str:
     """Lower case without accents."""
@@ -42,58 +53,58 @@ def base_of(text: str | None) -> tuple[str, str, str] | None:
 
 
 class Names:
-    """Finds a known series with its number in free text. series: the names that designations of the corpus use."""
+    """Finds a known series with its number in free text. series: the names that designations of the corpus use.
+
+    Texts are taken apart into words that are looked up, so the number of names costs no time; misspelt names are found
+    under what one deletion leaves of them.
+    """
 
     def __init__(self, series: list[str]):
-        self.series = sorted(set(series), key=lambda s: (-len(s), s))
-        known = "|".join(map(re.escape, self.series)) or r"(?!x)x"
-        self.after = re.compile(rf"(?<![^\W\d_])({known}){_BETWEEN}(\d{{3,5}}|\d{{2}}-\d{{2}}(?!\d)){_SUFFIX.replace('[A-Z]{1,2}', '[a-z]{1,2}')}")
-        self.before = re.compile(rf"(?<![\w.,])(\d{{3,5}})(?:[\s\-–]{{0,2}}(plus|[a-z]{{1,2}}))?[\s\-–]+({known})\b")
-        self.short = {}
-        for s in self.series:
-            self.short.setdefault(s[:3], []).append(s)
-        stems = "|".join(map(re.escape, self.short)) or r"(?!x)x"
-        self.cut = re.compile(rf"(?<![\w])({stems})[\s\-–]?(\d{{3,5}}){_SUFFIX.replace('[A-Z]{1,2}', '[a-z]{1,2}')}")
-        self.word = re.compile(r"(?<![\w])([^\W\d_]{4,})" + _BETWEEN + r"(\d{3,5})" + _SUFFIX.replace("[A-Z]{1,2}", "[a-z]{1,2}"))
-        self.alone = re.compile(rf"(?<![^\W\d_])({known})(?![^\W\d_])")
+        self.series = set(series)
+        self.stems: dict[str, list[str]] = {}
+        self.cuts: dict[str, list[str]] = {}
+        for s in sorted(self.series):
+            self.stems.setdefault(s[:3], []).append(s)
+            for part in {s, *(s[:i] + s[i + 1 :] for i in range(len(s)))}:
+                self.cuts.setdefault(part, []).append(s)
 
     def near(self, word: str) -> str | None:
         """The series that the word misspells by one edit or one swap of neighbours."""
-        for s in self.series:
-            if abs(len(s) - len(word)) <= 1 and word != s:
-                if len(s) == len(word):
-                    diff = [i for i in range(len(s)) if s[i] != word[i]]
-                    if len(diff) == 1 or len(diff) == 2 and diff[1] == diff[0] + 1 and s[diff[0]] == word[diff[1]] and s[diff[1]] == word[diff[0]]:
-                        return s
-                else:
-                    long, small = (s, word) if len(s) > len(word) else (word, s)
-                    if any(long[:i] + long[i + 1 :] == small for i in range(len(long))):
-                        return s
-        return None
+        found = {s for part in {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} for s in self.cuts.get(part, ()) if s != word and distance(word, s, 1) <= 1}
+        return min(found, key=lambda s: (-len(s), s)) if found else None
 
     def all_in(self, text: str) -> list[tuple[str, str, str, int]]:
         """(series, number, suffix, position) of every mention."""
         low = plain(text)
-        return [(m[1], m[2].replace("-", ""), suffix_key(m[3]), m.start()) for m in self.after.finditer(low)]
+        return [(w[0], m[1].replace("-", ""), suffix_key(m[2]), w.start()) for w in _NAME.finditer(low) if w[0] in self.series and (m := _BEHIND.match(low, w.end()))]
 
     def in_title(self, title: str) -> tuple[str, str, str] | None:
-        """The model that a title names: a series with its number behind or before it, a shortened or a misspelt series."""
+        """The model that a title names: a series with its number behind or before it, a shortened or a misspelt series; else
+        a word that no designation uses, with a number behind it that is no amount."""
         low = plain(title)
-        if m := self.after.search(low):
-            return m[1], m[2].replace("-", ""), suffix_key(m[3])
-        if m := self.before.search(low):
-            return m[3], m[1], suffix_key(m[2])
-        for m in self.cut.finditer(low):
-            if len(self.short[m[1]]) == 1:
-                return self.short[m[1]][0], m[2], suffix_key(m[3])
-        for m in self.word.finditer(low):
-            if s := self.near(m[1]):
-                return s, m[2], suffix_key(m[3])
+        words = [(w[0], m) for w in _NAME.finditer(low) if (m := _BEHIND.match(low, w.end()))]
+        for word, m in words:
+            if word in self.series:
+                return word, m[1].replace("-", ""), suffix_key(m[2])
+        for m in _BEFORE.finditer(low):
+            if m[3] in self.series and not (_YEAR.match(m[1]) and low[: m.start()].strip()):  # "edition 2025" of a series
+                return m[3], m[1], suffix_key(m[2])
+        for m in _STEM.finditer(low):
+            if len(self.stems.get(m[1], ())) == 1:
+                return self.stems[m[1]][0], m[2], suffix_key(m[3])
+        plain_number = [(w, m) for w, m in words if m[1].isdigit()]
+        for word, m in plain_number:
+            if len(word) >= 4 and (s := self.near(word)):
+                return s, m[1], suffix_key(m[2])
+        if self.series_in(title):
+            return None
+        for word, m in plain_number:
+            if word not in _NO_NAMES and not _AMOUNT.match(low, m.end(1)):
+                return word, m[1], suffix_key(m[2])
         return None
 
     def series_in(self, title: str) -> str:
-        m = self.alone.search(plain(title))
-        return m[1] if m else ""
+        return next((w[0] for w in _NAME.finditer(plain(title)) if w[0] in self.series), "")
 
     def in_description(self, text: str) -> tuple[str, str, str] | None:
         """The model that a description says is sold: the one most often named, not counting references to others."""

@@ -37,10 +37,14 @@ class Encoder:
     def __init__(self, table: np.ndarray):
         self.table = table.astype(np.float32)
 
-    def encode(self, texts: list[str]) -> np.ndarray:
+    def encode(self, texts: list[str], words_only: bool = False) -> np.ndarray:
+        """One row per text; words_only leaves numbers out."""
         out = np.zeros((len(texts), self.table.shape[1]), dtype=np.float32)
         for i, text in enumerate(texts):
-            if found := features(text or ""):
+            found = features(text or "")
+            if words_only:
+                found = [x for x in found if x < BUCKETS // 2]
+            if found:
                 out[i] = self.table[found].sum(0)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.maximum(norm, 1e-9)
@@ -78,7 +82,7 @@ def train(pairs: list[tuple[str, str]], epochs: int = 6, batch: int = 256, rate:
     return Encoder(table)
 
 
-def centroids(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
+def centroids(sample: np.ndarray, lists: int, rounds: int = 5, seed: int = 7) -> np.ndarray:
     """Spherical k-means over a sample of vectors."""
     rng = np.random.default_rng(seed)
     lists = max(1, min(lists, len(sample)))
@@ -86,12 +90,11 @@ def centroids(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 7) ->
         return np.zeros((1, DIMENSIONS), np.float32)
     centre = sample[rng.choice(len(sample), lists, replace=False)].copy()
     for _ in range(rounds):
-        nearest = (sample @ centre.T).argmax(1)
-        for k in range(lists):
-            own = sample[nearest == k]
-            if len(own):
-                mean = own.sum(0)
-                centre[k] = mean / max(np.linalg.norm(mean), 1e-9)
-            else:
-                centre[k] = sample[rng.integers(len(sample))]
+        nearest = np.concatenate([(part @ centre.T).argmax(1) for part in np.array_split(sample, max(1, len(sample) // 4096))])
+        order = np.argsort(nearest, kind="stable")
+        starts = np.searchsorted(nearest[order], np.arange(lists))
+        filled = np.r_[starts[1:], len(order)] > starts
+        sums = np.add.reduceat(sample[order], starts[filled], axis=0)
+        centre[filled] = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+        centre[~filled] = sample[rng.integers(len(sample), size=int((~filled).sum()))]
     return centre.astype(np.float32)
