@@ -12,20 +12,20 @@ ORDER_CODE = r"(?i)\b(?=[A-Z0-9]*\d)[A-Z0-9]{2,}[-./][A-Z0-9]{2,}[-./][A-Z0-9]{1
 DATE_START = r"^(?:\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./]\d{2,4})"
 # Interfaces by what pages call them.
 INTERFACES = {
-    "Analog I/O": r"\banalog(?:ue)?\s+(?:inputs?|outputs?|i/o|interface)\b",
-    "Bluetooth": r"\bBluetooth\b",
-    "CAN": r"\bCAN[-\s]?bus\b",
-    "Digital I/O": r"\bdigital\s+(?:inputs?|outputs?|i/o|interface)\b",
-    "Ethernet": r"\bEthernet\b|\bRJ[-\s]?45\b|\bTCP/IP\b|\bLAN\b",
-    "GPIB": r"\bGPIB\b|\bIEEE[-\s]?488\b",
-    "Modbus": r"\bModbus\b",
-    "OPC-UA": r"\bOPC[-\s]?UA\b",
     "RS-232": r"\bRS[-\s]?232\b",
     "RS-485": r"\bRS[-\s]?485\b",
-    "Serial": r"\bserial\s+(?:port|interface|connection)\b",
-    "SiLA": r"\bSiLA[-\s]?2?\b",
     "USB": r"\bUSB\b",
+    "Ethernet": r"\bEthernet\b|\bRJ[-\s]?45\b|\bTCP/IP\b|\bLAN\b",
+    "CAN": r"\bCAN[-\s]?bus\b",
+    "GPIB": r"\bGPIB\b|\bIEEE[-\s]?488\b",
+    "Bluetooth": r"\bBluetooth\b",
     "WLAN": r"\bWLAN\b|\bWi[-\s]?Fi\b",
+    "SiLA": r"\bSiLA[-\s]?2?\b",
+    "OPC-UA": r"\bOPC[-\s]?UA\b",
+    "Modbus": r"\bModbus\b",
+    "Serial": r"\bserial\s+(?:port|interface|connection)\b",
+    "Analog I/O": r"\banalog(?:ue)?\s+(?:inputs?|outputs?|i/o|interface)\b",
+    "Digital I/O": r"\bdigital\s+(?:inputs?|outputs?|i/o|interface)\b",
 }
 #: Build tokens that say where a device is sold, not what it is.
 REGIONAL = r"(?i)\b(?:\d{2,3}\s*v(?:ac)?|\d{2,3}\s*-\s*\d{2,3}\s*v|ul|ce|csa|\d{2}/\d{2}\s*hz|\d{2}\s*hz)\b"
@@ -146,7 +146,7 @@ def order_numbers(text: Column, most: int = 20) -> Column:
 
 def interfaces(text: Column) -> Column:
     """Sorted names of the interfaces that a text mentions."""
-    return F.array_compact(F.array(*[F.when(text.rlike("(?i)" + p), F.lit(n)) for n, p in INTERFACES.items()]))
+    return F.array_sort(F.array_compact(F.array(*[F.when(text.rlike("(?i)" + p), F.lit(n)) for n, p in INTERFACES.items()])))
 
 
 def sheet_score(url: Column, text: Column) -> Column:

@@ -24,27 +24,45 @@ PAGE_PATH = r"(?i)/page/\d+/?$"
 ASSET = r"(?i)\.(?:jpe?g|png|gif|svg|webp|ico|css|js|zip|mp4)(?:\?|$)"
 DOCUMENT = r"(?i)\.(?:pdf|docx?|xlsx?|pptx?)$|[-_]pdf[-_]\d+/?$"
 # Labels of language switches, social networks by registrable domain, and hosts that hold no vendor's catalogue.
-LANGUAGE_LABELS = "english deutsch español espanol français francais italiano português portugues nederlands polski русский 中文 日本語 한국어 简体中文 繁體中文 türkçe svenska dansk suomi norsk".split()
-SOCIAL = "facebook.com twitter.com x.com linkedin.com youtube.com instagram.com xing.com tiktok.com weibo.com wechat.com pinterest.com youtu.be".split()
+LANGUAGE_LABELS = [
+    "english", "deutsch", "español", "espanol", "français", "francais", "italiano", "português", "portugues", "nederlands", "polski", "русский", "中文",
+    "日本語", "한국어", "简体中文", "繁體中文", "türkçe", "svenska", "dansk", "suomi", "norsk",
+]
+SOCIAL = [
+    "facebook.com", "twitter.com", "x.com", "linkedin.com", "youtube.com", "instagram.com", "xing.com", "tiktok.com", "weibo.com", "wechat.com",
+    "pinterest.com", "youtu.be",
+]
 THIRD_PARTY = (
     r"(?i)google|gstatic|cookiebot|onetrust|gmpg|w3\.org|schema\.org|hubspot|hsforms|marketo|pardot|vimeo|wistia|doubleclick|cloudflare|jsdelivr|typekit|adobe|bing\.|yahoo|apple\.com|microsoft|office\.com|zoom\.us|eventbrite|issuu|"
     r"slideshare|wikipedia|archive\.org|addtoany|sharethis|trustpilot|g2\.com|crunchbase|glassdoor|indeed|kununu|workday|successfactors|greenhouse|lever\.co"
 )
 # Path fragments that order a crawl.
-CATALOGUE_HINTS = "product produkt produit producto prodotto shop catalog katalog catalogue instrument geraet equipment portfolio range sortiment".split()
-EDITORIAL_HINTS = "news press blog career job event story about contact legal privacy imprint impressum webinar download support service login account cart search".split()
+CATALOGUE_HINTS = [
+    "product", "produkt", "produit", "producto", "prodotto", "shop", "catalog", "katalog", "catalogue", "instrument", "geraet", "equipment",
+    "portfolio", "range", "sortiment",
+]
+EDITORIAL_HINTS = [
+    "news", "press", "blog", "career", "job", "event", "story", "about", "contact", "legal", "privacy", "imprint", "impressum", "webinar", "download",
+    "support", "service", "login", "account", "cart", "search",
+]
 # Names of sitemaps to read first and last.
 SITEMAP_FIRST = r"(?i)product|produkt|instrument|equipment|catalog|page"
 SITEMAP_LAST = r"(?i)commerce|store|shop|sku|pim|video|multimedia|image|media|news|press|blog|post|event|webinar|career|job|promotion|community|forum|support|training|author|tag|categor(?:y|ies)_?tag|attachment"
 # First path segments that are languages or regions, and those that open a catalogue.
-LOCALES = (
-    "en de fr es it nl pt ja zh ko pl cs cz ru bg hu ro sk sl hr tr sv da fi no el uk ua th vi id ar he us eu int global row "
-    "en-us en-gb de-de de-at de-ch fr-fr es-es it-it int-en int-es us-en uk-en pl-pl fr-ch"
-).split()
-CATALOGUE_SEGMENTS = "products product produkte produkt shop catalog catalogue katalog instruments instrumente equipment geraete geräte portfolio range".split()
-OTHER_SEGMENTS = (
-    "knowledge company news press blog stories events career careers jobs about support service service-support downloads search legal imprint privacy contact industries-solutions applications literature webinars"
-).split()
+LOCALES = [
+    "en", "de", "fr", "es", "it", "nl", "pt", "ja", "zh", "ko", "pl", "cs", "cz", "ru", "bg", "hu", "ro", "sk", "sl", "hr", "tr", "sv", "da", "fi",
+    "no", "el", "uk", "ua", "th", "vi", "id", "ar", "he", "us", "eu", "int", "global", "row", "en-us", "en-gb", "de-de", "de-at", "de-ch", "fr-fr",
+    "es-es", "it-it", "int-en", "int-es", "us-en", "uk-en", "pl-pl", "fr-ch",
+]
+CATALOGUE_SEGMENTS = [
+    "products", "product", "produkte", "produkt", "shop", "catalog", "catalogue", "katalog", "instruments", "instrumente", "equipment", "geraete",
+    "geräte", "portfolio", "range",
+]
+OTHER_SEGMENTS = [
+    "knowledge", "company", "news", "press", "blog", "stories", "events", "career", "careers", "jobs", "about", "support", "service",
+    "service-support", "downloads", "search", "legal", "imprint", "privacy", "contact", "industries-solutions", "applications", "literature",
+    "webinars",
+]
 
 
 def part(url: Column, n: int) -> Column:

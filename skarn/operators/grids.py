@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from skarn.functions.text import DATE_START, common_prefix, let
 
 # Header words that settle that a table is no specification table, and words that only hint at it.
-STRONG = "language sprache langue idioma lingua download downloads brochure brochures flyer filesize cookie consent provider expiry".split()
-WEAK = "info size format status file datasheet required included optional accessory accessories price preis prix precio availability stock description title order".split()
+STRONG = [
+    "language", "sprache", "langue", "idioma", "lingua", "download", "downloads", "brochure", "brochures", "flyer", "filesize", "cookie", "consent",
+    "provider", "expiry",
+]
+WEAK = [
+    "info", "size", "format", "status", "file", "datasheet", "required", "included", "optional", "accessory", "accessories", "price", "preis", "prix",
+    "precio", "availability", "stock", "description", "title", "order",
+]
 LANGUAGE = r"(?i)^(?:de|en|fr|es|it|nl|pt|pl|cs|ru|zh|ja|ko)$"
 FILE_SIZE = r"(?i)^\s*(?:pdf|docx?|xlsx?|zip)[, ]+.*\d+\s*[kmg]b\s*$"
 ORDER_CELL = r"(?i)^\s*(?=[A-Z0-9]*\d)[A-Z0-9]{2,}[-./][A-Z0-9]{2,}[-./][A-Z0-9]{1,}\s*$"

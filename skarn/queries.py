@@ -199,7 +199,7 @@ def order_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT doc_id, " + " || ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '{p}', 'i') THEN '{n};' ELSE '' END" for n, p in T.INTERFACES.items()) + " AS interfaces FROM documents"
+    "SELECT doc_id, " + " || ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '{p}', 'i') THEN '{n};' ELSE '' END" for n, p in sorted(T.INTERFACES.items())) + " AS interfaces FROM documents"
 )
 def interfaces(spark: SparkSession, d: str) -> DataFrame:
     """Interfaces that whole texts mention."""
@@ -516,11 +516,10 @@ def sheet_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def page_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Specifications written as text in stored pages, and products presented in place."""
-    from skarn.sources.sections import with_sections
+    """Specifications written as text in stored pages: heading, label and value of each page's best section."""
+    from skarn.sources.sections import section_pairs, with_outline
 
-    s = with_sections(read_table(spark, d, "page_bodies").select("body_id", "html"), "html").drop("html")
-    return s.select("body_id", "section.heading", F.size("section.pairs").alias("pairs"), F.size("section.parts").alias("parts"))
+    return section_pairs(with_outline(read_table(spark, d, "page_bodies").select("body_id", "html"), "html").drop("html"), "body_id")
 
 
 @query()

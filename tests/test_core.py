@@ -190,15 +190,28 @@ def test_against_sql(spark, small, name):
     assert sorted(repr(tuple(r)) for r in f(spark, small).select(*names).collect()) == expected
 
 
-def test_sections_and_parts():
-    from skarn.sources.sections import product_parts, section_pairs
+def test_sections_and_parts(spark):
+    from skarn.sources.sections import product_parts, section_pairs, with_outline
 
     page = "<h2>Specifications</h2><p><strong>Size</strong></p><p>Weight: 5.2 kg<br>Height: 3 cm</p><p><b>Other</b></p><p>Height: 9 cm</p><li>4-40 °C ambient</li><h2>Contact</h2><p>Phone: 1</p>"
-    assert section_pairs(page) == ("Specifications", [("Weight", "5.2 kg"), ("Height", "3 cm"), ("Height (Other)", "9 cm"), ("Other", "4-40 °C ambient")])
-    assert section_pairs("") == ("", []) and section_pairs("<p>Weight: 1 kg</p>") == ("", [])
-    flex = '<a href="#a">Flex 400</a><a href="#b">Flex c5</a><a href="#top">Top</a><h2 id="a">Flex 400</h2>one<h2 id="b">Flex c5</h2>two<footer>x</footer>'
-    assert [n for n, _ in product_parts(flex)] == ["Flex 400", "Flex c5"] and "two" in product_parts(flex)[1][1]
-    assert product_parts('<a href="#a">Details</a><a href="#b">Overview</a><p id="a"></p><p id="b"></p>') == []
+    more = "<h2>Technical data</h2><p>Ab: 1</p><h2>Technical data</h2><p>Ab: 2</p><p>Ab: 2</p><h3>Deep</h3><p>Ab: 3</p><h2>News</h2><p>Bc: 1</p>"
+    flex = '<a href="#a">Flex 400</a><a href="#b">Flex c5</a><a href="#top">Top</a><a href="#q">Request a quote now</a><h2 id="a">Flex 400</h2>one<h2 id="b">Flex c5</h2>two<footer>x</footer>'
+    tabs = '<a href="#a">Details</a><a href="#b">Overview</a><p id="a"></p><p id="b"></p>'
+    df = with_outline(spark.createDataFrame(list(enumerate([page, "", None, "<p>Weight: 1 kg</p>", more, flex, tabs])), "id int, html string"), "html")
+    got = {}
+    for r in section_pairs(df, "id").orderBy("id", "ord").collect():
+        got.setdefault(r["id"], []).append((r["heading"], r["label"], r["value"]))
+    s = "Specifications"
+    assert got[0] == [(s, "Weight", "5.2 kg"), (s, "Height", "3 cm"), (s, "Height (Other)", "9 cm"), (s, "Other", "4-40 °C ambient")]
+    assert [x[1:] for x in got[4]] == [("Ab", "1"), ("Ab (Technical data)", "2"), ("Ab (Deep)", "3")] and set(got) == {0, 4}
+    parts = product_parts(df, "id", "html").orderBy("id", "part").collect()
+    assert [(r["id"], r["name"]) for r in parts] == [(5, "Flex 400"), (5, "Flex c5")]
+    assert parts[0]["markup"] == '<h2 id="a">Flex 400</h2>one' and parts[1]["markup"] == '<h2 id="b">Flex c5</h2>two'
+
+
+def test_definition_lists():
+    page = "<dl><dt>A</dt><dd>1</dd><dt>B</dt><dt>C</dt><dd>3</dd><dd>4</dd><dt>D</dt><dd></dd></dl>"
+    assert [g for _, g in parse_page(page)[9]] == [[["", ""], ["A", "1"], ["C", "3"]]]
 
 
 def test_menu_scope(spark):
