@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skarn.operators.quantities import p1_found
 from skarn.operators.widening import p4_found
 from skarn.queries import REGISTRY
+from skarn import reads  # noqa: F401 - adds its queries to the registry
 
 Query = Callable[[SparkSession, str], DataFrame]
 

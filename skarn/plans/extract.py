@@ -47,7 +47,8 @@ def best_tables(pages: DataFrame, key: str) -> DataFrame:
 def page_records(pages: DataFrame, key: str) -> DataFrame:
     """key, ent_ord, entity, attribute, attribute_key, raw, spec: the parsed values of the best table of each page.
 
-    A table whose entities don't look like devices is read along the other axis if that one does.
+    A table whose entities don't look like devices is read along the other axis if that one does; if neither does, it
+    describes one device, the page's, and its attributes are told apart by entity.
     """
     tables = best_tables(pages, key)
     head = lambda g: F.slice(F.get(g, F.lit(0)), 2, F.greatest(F.size(F.get(g, F.lit(0))) - 1, F.lit(0)))
@@ -56,10 +57,15 @@ def page_records(pages: DataFrame, key: str) -> DataFrame:
     across, down = plausible_names(head(F.col("grid")), F.col("name"), F.lit("")), plausible_names(side(F.col("grid")), F.col("name"), F.lit(""))
     pair = ~across & ~down & (F.size(F.get("grid", F.lit(0))) == 2)  # labels and values of one device, without a header
     forced = F.when((found == "attribute_major") & ~across & down, "variant_major").when((found == "variant_major") & ~down & across | pair, "attribute_major").otherwise(found)
-    tables = tables.withColumn("forced", forced).withColumn("pair", pair)
+    several = F.when(found == "attribute_major", F.size(head(F.col("grid")))).otherwise(F.size(side(F.col("grid")))) > 1
+    tables = tables.withColumn("forced", forced).withColumn("pair", pair).withColumn("flat", ~across & ~down & ~pair & several)
     tables = tables.withColumn("grid", F.when(F.col("pair"), F.concat(F.array(F.array(F.lit(""), F.col("name"))), F.col("grid"))).otherwise(F.col("grid")))
-    cells = grid_records(tables, key, "grid", F.col("forced"))
+    cells = grid_records(tables, key, "grid", F.col("forced")).join(tables.select(key, "flat", F.col("name").alias("page_name")), key)
     kept = cells.where((F.trim("attribute") != "") & (F.trim("value") != ""))
+    kept = kept.withColumns({
+        "attribute": F.when(F.col("flat"), F.format_string("%s (%s)", "attribute", "entity")).otherwise(F.col("attribute")),
+        "entity": F.when(F.col("flat"), F.col("page_name")).otherwise(F.col("entity")), "ent_ord": F.when(F.col("flat"), F.lit(1)).otherwise(F.col("ent_ord")),
+    })
     return kept.select(key, "ent_ord", clean_variant(F.col("entity")).alias("entity"), "attribute", attribute_key(F.col("attribute")).alias("attribute_key"), F.col("value").alias("raw"), spec_value(F.col("value")).alias("spec"), "section")
 
 

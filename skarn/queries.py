@@ -441,16 +441,6 @@ def recorded_labels(spark: SparkSession, d: str) -> DataFrame:
     return logs.resolved(items, verdicts, "url", "label", [F.col("decided_at"), F.col("entry_id")]).select("listing_id", "label", "decided_by")
 
 
-@query(
-    f"""WITH x AS (SELECT listing_id, unnest(datasheet_urls) AS pdf, generate_subscripts(datasheet_urls, 1) AS i FROM device_records), y AS (SELECT listing_id, pdf, i, regexp_extract(regexp_replace(pdf, '[?#].*$', ''), '([^/]*)$', 1) AS f FROM x),
-    z AS (SELECT *, CASE WHEN regexp_matches(f || ' ', '{T.SHEET_BAD}') THEN -1 WHEN regexp_matches(f || ' ', '{T.SHEET_GOOD}') THEN 2 ELSE 0 END AS score FROM y) SELECT listing_id, arg_max(pdf, score * 1000 - i) AS pdf, max(score) AS score FROM z WHERE score >= 0 GROUP BY listing_id"""
-)
-def datasheet_choice(spark: SparkSession, d: str) -> DataFrame:
-    """The best document of each record by its file name, the earlier on a tie."""
-    x = read_table(spark, d, "device_records").select("listing_id", F.posexplode("datasheet_urls").alias("i", "pdf")).withColumn("score", T.sheet_score(F.col("pdf"), F.lit("")))
-    return x.where(F.col("score") >= 0).groupBy("listing_id").agg(F.max(F.struct(F.col("score"), (-F.col("i")).alias("o"), F.col("pdf"))).alias("m")).select("listing_id", "m.pdf", "m.score")
-
-
 @query(
     "SELECT fetch_id, '<urlset><url><loc>' || replace(final_url, '&', '&amp;') || '</loc></url></urlset>' IS NOT NULL AS is_map, final_url AS loc, fetched_at AS lastmod FROM fetch_index"
 )

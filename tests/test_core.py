@@ -222,3 +222,35 @@ def test_menu_scope(spark):
     got = {(r["text"], r["role"], r["category"]) for r in menu_scope(df).collect()}
     assert got == {("Products", "hub", ""), ("Mixers", "hub", ""), ("M 1", "product", "Mixers")}
     assert [tuple(r) for r in affiliated_domains(df).collect()] == [("a.b", "c.d")]
+
+
+def test_flat_tables(spark):
+    from skarn.plans.extract import page_records
+    from skarn.sources.html import with_page
+
+    page = "<h1>Mixer 5</h1><h2>Technical data</h2><table><tr><th>Property</th><th>minimum</th><th>maximum</th></tr><tr><td>Speed</td><td>10 rpm</td><td>90 rpm</td></tr><tr><td>Load</td><td>1 kg</td><td>7 kg</td></tr></table>"
+    rows = page_records(with_page(spark.createDataFrame([(1, page)], "id int, html string"), "html"), "id").collect()
+    assert {(r["entity"], r["attribute"], r["raw"]) for r in rows} == {("Mixer 5", "Speed (minimum)", "10 rpm"), ("Mixer 5", "Speed (maximum)", "90 rpm"), ("Mixer 5", "Load (minimum)", "1 kg"), ("Mixer 5", "Load (maximum)", "7 kg")}
+
+
+def test_reports(spark):
+    from skarn.operators import reports
+
+    docs = ["https://a.b/training-calendar.pdf", "https://a.b/mixer-5-flyer.pdf", "https://c.d/x.pdf"]
+    rows = [(i, "a.b", f"https://a.b/{i}", name, None if d is None else [docs[k] for k in d]) for i, (name, d) in enumerate([("Mixer 5", [0, 1, 2]), ("Oven 7", [0, 2]), ("Pump 9", [0]), (None, None), ("Mixer 5", [])])]
+    df = spark.createDataFrame(rows, "id int, site string, url string, name string, docs array<string>")
+    assert [tuple(r) for r in reports.site_furniture(df, "site", "url", "docs").collect()] == [("a.b", docs[0])]
+    got = {r["id"]: r["document"] for r in reports.choose_datasheet(df, "id", "site", "url", "name", "docs").collect()}
+    assert got == {0: docs[1], 1: docs[2]}
+    named = reports.names_apart(spark.createDataFrame([(1, "u", "B 28 - x"), (2, "u", "B 28 - y"), (3, "u", ""), (4, "u", None), (5, "u", "C 1")], "o int, p string, n string"), "p", "n", "o")
+    assert {r["o"]: r["device"] for r in named.collect()} == {1: "B 28 - x", 2: "B 28 - y", 3: "u variant 3", 4: "u variant 4", 5: "C 1"}
+    reply = reports.json_reply(F.col("c0"))
+    assert _one(spark, reply, '```json\n{"a": 1}\n```') == '{"a": 1}' and _one(spark, reply, 'so: [1, 2].') == "[1, 2]" and _one(spark, reply, "none") is None
+    maps = spark.createDataFrame([("s", i, 30) for i in range(5)], "site string, i int, n int")
+    assert sorted(r["i"] for r in reports.walk_sitemaps(maps, "site", [F.col("i")], "n", 9, 50).collect()) == [0, 1]
+    top = reports.top_per_key(spark.createDataFrame([("k", i) for i in range(500)] + [("l", 1)], "k string, i int"), ["k"], [F.col("i")], 3)
+    assert sorted(tuple(r) for r in top.collect()) == [("k", 0), ("k", 1), ("k", 2), ("l", 1)]
+    log = spark.createDataFrame([("u", 1, "a"), ("u", 2, None), ("v", 1, "c")], "url string, at int, x string")
+    assert sorted((r["url"], r["x"]) for r in identity.latest(log, ["url"], [F.col("at")]).collect()) == [("u", None), ("v", "c")]
+    empty = df.limit(0)
+    assert reports.choose_datasheet(empty, "id", "site", "url", "name", "docs").count() == 0 and reports.site_furniture(empty, "site", "url", "docs").count() == 0
