@@ -3,7 +3,9 @@
 The characters of a text are mapped back to the bytes of each legacy code page that could have produced them. An
 automaton over the byte structure of UTF-8 (and of Shift-JIS) finds the maximal well-formed multibyte spans; only those
 spans are decoded, and only if the outcome is plausible for the corpus' scripts and the garbled form is no natural
-writing. Passages of one single-byte code page read as another have no byte structure; they are found word by word.
+writing. Passages of one single-byte code page read as another have no byte structure; they are found word by word, and
+what looks like correct writing even so ("13 ∞C", "ìServiceî") by the corpus itself: words that another reading of their
+bytes turns into words that clean texts use far more often.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.session import read_table, ship_package, spread
+from skarn.session import cut, read_table, ship_package, spread
 
 # Code pages that texts are read with by mistake, the usual ones first.
 CODE_PAGES = ["cp1252", "latin_1", "cp1250", "cp1251", "cp850", "cp437", "mac_roman", "cp866", "koi8_r", "iso8859_2", "cp1254", "cp1257"]
@@ -37,6 +39,8 @@ _PLAUSIBLE = re.compile(
     "ᵢ-ᵪ -⁯⁰-₟₠-₿℀-⅏⅐-↏←-⇿∀-⋿⌀-⏿─-➿"
     "　-ヿㇰ-ㇿ㐀-鿿가-힯︀-️﻿＀-￯\U0001f000-\U0001faff]+"
 )
+# Blocks of further scripts; a word of three letters or more in one of them is plausible too.
+_SCRIPTS = [(0x0530, 0x058F), (0x0590, 0x05FF), (0x0600, 0x06FF), (0x0900, 0x097F), (0x0980, 0x09FF), (0x0A80, 0x0AFF), (0x0B80, 0x0BFF), (0x0C00, 0x0C7F), (0x0E00, 0x0E7F), (0x10A0, 0x10FF), (0x1200, 0x137F), (0x1780, 0x17FF)]
 _MARKS = set("\xa0“”„‚‘’«»‹›…–—·•™®©№")
 _CASED_UP = re.compile(r"[A-ZÀ-ÖØ-ÞĄĆĘŁŃŚŹŻ]")
 
@@ -92,6 +96,13 @@ def _natural(codec: str, text: str, start: int, end: int, decoded: str) -> bool:
 _HIGH = re.compile(r"[^\x00-\x7f]{2,}")
 
 
+def plausible(decoded: str) -> bool:
+    """Whether decoded bytes are writing: of the usual scripts, or a word of at least three letters of one further script."""
+    if _PLAUSIBLE.fullmatch(decoded):
+        return True
+    return len(decoded) >= 3 and any(all(a <= ord(ch) <= b for ch in decoded) for a, b in _SCRIPTS)
+
+
 @lru_cache(maxsize=65536)
 def _well_formed(run: str) -> tuple[tuple[int, int, str, str], ...]:
     """(start, end, code page, decoded) of every plausible UTF-8 span in a run of characters beyond ASCII."""
@@ -99,7 +110,7 @@ def _well_formed(run: str) -> tuple[tuple[int, int, str, str], ...]:
     for codec in CODE_PAGES:
         for found in _UTF8.finditer(run.translate(_TABLES[codec])):
             decoded = found[0].encode("latin_1").decode("utf-8")
-            if _PLAUSIBLE.fullmatch(decoded):
+            if plausible(decoded):
                 out.append((*found.span(), codec, decoded))
     return tuple(out)
 
@@ -232,7 +243,7 @@ def _single_byte(line: str) -> tuple[str, str] | None:
     return out, name
 
 
-_ENTITY = re.compile(r"(?:&(?:[A-Za-z]{2,8}|#\d{2,5}|#x[0-9A-Fa-f]{2,4});[\x80-\xffŒ-™]?|[\x80-\xffŒ-™](?=&[A-Za-z#]))+")
+_ENTITY = re.compile(r"(?:&(?:[A-Za-z][A-Za-z0-9]{1,7}|#\d{2,5}|#x[0-9A-Fa-f]{2,4});[\x80-\xffŒ-™]?|[\x80-\xffŒ-™](?=&[A-Za-z#]))+")
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 
 
@@ -264,10 +275,6 @@ def _by_sentence(text: str, hint: re.Pattern, how: list[str]) -> str:
     return "".join(parts)
 
 
-#: Wrong decodings may be stacked; each turn undoes one.
-MOST_TURNS = 6
-
-
 def restore(text: str) -> tuple[bool, str, list[str]]:
     """(whether any passage is garbled, the text with every span restored that can be, the readings undone).
 
@@ -278,7 +285,7 @@ def restore(text: str) -> tuple[bool, str, list[str]]:
     how: list[str] = []
     if _HIGH_RUN.search(text):
         text = _by_sentence(text, _HIGH_RUN, how)
-    for _ in range(MOST_TURNS):
+    while True:  # wrong decodings may be stacked; each turn undoes one and makes the text shorter
         new = _unescape(text) if "&" in text else text
         if new != text:
             how.append("entities")
@@ -288,7 +295,7 @@ def restore(text: str) -> tuple[bool, str, list[str]]:
         if spans:
             how += list(dict.fromkeys(f"utf_8 as {s[2]}" if " as " not in s[2] else s[2] for s in spans))
             new = _replace(new, spans)
-        if new == text:
+        if new == text or len(new) >= len(text):
             break
         text = new
     if _SUSPECT.search(text):
@@ -316,11 +323,89 @@ def mend(df: DataFrame, text: str = "text") -> DataFrame:
     return out.select(*[c for c in out.columns if c != "__mend"], "__mend.*")
 
 
+#: A word is taken for garbled if another reading is at least so many times as frequent, in at least so many texts.
+LEAST_RATIO, LEAST_TEXTS = 10, 3
+_SENTENCES = r"\n|(?<=[.!?。]) "
+
+
+def _rereadings() -> dict[str, dict[int, int]]:
+    """"written as read" of every two code pages: the signs that one shows for a byte, to those of the other."""
+    out = {}
+    for written in CODE_PAGES:
+        for read_as in CODE_PAGES:
+            table = {}
+            for byte in range(0x80, 0x100):
+                try:
+                    seen, meant = bytes([byte]).decode(read_as), bytes([byte]).decode(written)
+                except UnicodeDecodeError:
+                    continue
+                table[ord(seen)] = ord(meant)
+            if any(k != v for k, v in table.items()):
+                out[f"{written} as {read_as}"] = table
+    return out
+
+
+def reread(word: str, tables: dict[str, dict[int, int]]) -> list[tuple[str, str]]:
+    """(reading, the word under it) of every reading that has all of the word's signs beyond ASCII and changes it."""
+    high = {ord(ch) for ch in word if ord(ch) > 0x7F}
+    return [(name, new) for name, table in tables.items() if high <= table.keys() and (new := word.translate(table)) != word]
+
+
+def odd_sentences(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, sentence (its number), reading of sentences that a wrong single-byte reading explains, learned from the texts.
+
+    Words, with their digits alike, are counted once per text. A sentence is garbled if one reading turns every word of it
+    that has signs beyond ASCII into a word at least as frequent, and one of them into a word LEAST_RATIO times as frequent
+    that LEAST_TEXTS have. Rows repeated with one key count once. Only words and keys are shuffled; of the joined tables
+    the right one has only words that have a more frequent reading.
+    """
+    ship_package(texts.sparkSession)
+    words = lambda x: F.filter(F.split(F.regexp_replace(x, r"\d+", "0"), r"\s+"), lambda w: w.rlike(r"[^\x00-\x7f]"))
+    sentences = texts.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(key, F.posexplode(F.split(text, _SENTENCES)).alias("sentence", "s")).where(F.col("s").rlike(r"[^\x00-\x7f]")).select(key, "sentence", F.array_distinct(words(F.col("s"))).alias("w"))
+    each = sentences.select(key, "sentence", F.size("w").alias("k"), F.explode("w").alias("word"))
+    each = cut(each)
+    counts = cut(each.select(key, "word").distinct().groupBy("word").agg(F.count("*").alias("n")))
+    tables = texts.sparkSession.sparkContext.broadcast(_rereadings())
+
+    def read(column: pd.Series) -> pd.Series:
+        return pd.Series([[{"reading": a, "new": b} for a, b in reread(w, tables.value)] for w in column], index=column.index)
+
+    readings = counts.select("word", "n", F.explode(F.pandas_udf(read, "array<struct<reading string, new string>>")("word")).alias("r"))
+    better = readings.join(counts.select(F.col("word").alias("new"), F.col("n").alias("m")), F.col("r.new") == F.col("new")).where(F.col("m") >= F.col("n"))
+    better = better.select("word", "r.reading", ((F.col("m") >= F.col("n") * LEAST_RATIO) & (F.col("m") >= LEAST_TEXTS)).alias("far"))
+    explained = each.join(better, "word").groupBy(key, "sentence", "reading").agg(F.count_distinct("word").alias("found"), F.first("k").alias("k"), F.max("far").alias("far"))
+    usual = F.array_position(F.array(*[F.lit(x) for x in _rereadings()]), F.col("reading"))
+    return explained.where((F.col("found") == F.col("k")) & F.col("far")).groupBy(key, "sentence").agg(F.min_by("reading", usual).alias("reading"))
+
+
+def _documents(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, restored, readings of documents that show garbled spans; doc_id, sentence, reading of those that the corpus shows)."""
+    mended = cut(mend(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "garbled", "restored", "readings"))
+    return mended.where("garbled"), odd_sentences(mended.where(~F.col("garbled")), "doc_id", "restored")
+
+
 def p10_found(spark, sf_dir: str) -> DataFrame:
     """doc_id of every document with a garbled passage."""
-    return mend(read_table(spark, sf_dir, "documents").select("doc_id", "text")).where("garbled").select("doc_id")
+    spans, odd = _documents(spark, sf_dir)
+    return spans.select("doc_id").unionByName(odd.select("doc_id").distinct())
 
 
 def p10_restored(spark, sf_dir: str) -> DataFrame:
     """doc_id, restored, readings of every document with a garbled passage."""
-    return mend(read_table(spark, sf_dir, "documents").select("doc_id", "text")).where("garbled").select("doc_id", "restored", "readings")
+    spans, odd = _documents(spark, sf_dir)
+    by_text = odd.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sentence", "reading"))).alias("odd"))
+    tables = spark.sparkContext.broadcast(_rereadings())
+
+    def turn(texts: pd.Series, odd_: pd.Series) -> pd.Series:
+        out = []
+        for text, found in zip(texts, odd_):
+            ends = [0, *(m.end() for m in re.finditer(_SENTENCES, text)), len(text)]
+            parts = [text[a:b] for a, b in zip(ends, ends[1:])]
+            for x in found:
+                parts[x["sentence"]] = parts[x["sentence"]].translate(tables.value[x["reading"]])
+            out.append("".join(parts))
+        return pd.Series(out, index=texts.index)
+
+    whole = read_table(spark, sf_dir, "documents").select("doc_id", "text").join(by_text, "doc_id")
+    more = whole.select("doc_id", F.pandas_udf(turn, "string")("text", "odd").alias("restored"), F.array_distinct(F.transform("odd", lambda x: x["reading"])).alias("readings"))
+    return spans.select("doc_id", "restored", "readings").unionByName(more)

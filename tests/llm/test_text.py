@@ -254,3 +254,25 @@ def test_found_on_pages(spark, tmp_path):
     kept = {tuple(r) for r in p7_found(spark, str(tmp_path)).collect()}
     assert {k for k in kept if k[0] == "description"} == {("description", 1, 2)}
     assert {k[2] for k in kept if k[:2] == ("body", 1)} == {6, 7, 8, 9, 10} and not {k for k in kept if k[:2] == ("body", 2)}
+
+
+def test_words_of_the_corpus_show_wrong_readings(spark):
+    """What looks like correct writing is found by the words that clean texts use, and only by a clear majority; also beside brute force."""
+    from skarn.llm.garbled import odd_sentences
+
+    rows = [(i, f"Kept at {i} °C. Press “Service” – then wait.") for i in range(40)] + [(100, "Kept at 7 ∞C. Press ìServiceî ñ then wait."), (101, "Optics: ∞ corrected."), (102, "El niño está aquí."), (103, None), (104, ""), (100, "Kept at 7 ∞C. Press ìServiceî ñ then wait.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not any(restore(t)[0] for _, t in rows if t)
+    got = {(r["doc_id"], r["sentence"]): r["reading"] for r in odd_sentences(df, "doc_id", "text").collect()}
+    assert got == {(100, 0): "cp1252 as mac_roman", (100, 1): "cp1252 as mac_roman"}
+    assert odd_sentences(df.where("doc_id > 100"), "doc_id", "text").count() == 0 and odd_sentences(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_further_scripts_and_stacked_decodings():
+    for text in ("שלום עולם", "مرحبا بالعالم", "สวัสดีชาวโลก", "नमस्ते"):
+        garbled = text.encode().decode("latin_1")
+        assert restore(f"x {garbled} y")[1] == f"x {text} y"
+    text = "Gehäuse"
+    for _ in range(9):
+        text = text.encode().decode("cp1252", "replace") if "�" not in text.encode().decode("cp1252", "replace") else text
+    assert restore(text)[0] and restore("sch&Atilde;&frac14;tzt")[1] == "schützt"
