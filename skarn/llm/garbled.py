@@ -139,11 +139,11 @@ _JAPANESE = [
 ]
 
 
-def _japanese_spans(text: str) -> list[tuple[int, int, str, str]]:
-    """Spans that are Shift-JIS or EUC-JP read as a single-byte code page."""
+def _japanese_spans(text: str, words: str) -> list[tuple[int, int, str, str]]:
+    """Spans that are Shift-JIS or EUC-JP read as a single-byte code page. words: those of the text that may hold any."""
     out = []
     for codec, hint, source in _JAPANESE:
-        if not hint.search(text):
+        if not hint.search(words):
             continue
         mapped = text.translate(_TABLES[codec])
         pattern, kana = (_SJIS, _KANA) if source == "cp932" else (_EUC, _EUC_KANA)
@@ -275,6 +275,11 @@ def _by_sentence(text: str, hint: re.Pattern, how: list[str]) -> str:
     return "".join(parts)
 
 
+def _beyond_ascii(text: str) -> str:
+    """The words of a text that have signs beyond ASCII, each once; the hints look no further than a word."""
+    return " ".join(dict.fromkeys(w for w in text.split() if not w.isascii()))
+
+
 def restore(text: str) -> tuple[bool, str, list[str]]:
     """(whether any passage is garbled, the text with every span restored that can be, the readings undone).
 
@@ -283,13 +288,17 @@ def restore(text: str) -> tuple[bool, str, list[str]]:
     if text.isascii() and "&" not in text:
         return False, text, []
     how: list[str] = []
-    if _HIGH_RUN.search(text):
+    words = _beyond_ascii(text)
+    if _HIGH_RUN.search(words):
         text = _by_sentence(text, _HIGH_RUN, how)
+        words = _beyond_ascii(text)
     while True:  # wrong decodings may be stacked; each turn undoes one and makes the text shorter
         new = _unescape(text) if "&" in text else text
         if new != text:
             how.append("entities")
-        spans = _japanese_spans(new)
+        if new != text:
+            words = _beyond_ascii(new)
+        spans = _japanese_spans(new, words)
         if not spans:
             spans = _utf8_spans(new)
         if spans:
@@ -297,8 +306,8 @@ def restore(text: str) -> tuple[bool, str, list[str]]:
             new = _replace(new, spans)
         if new == text or len(new) >= len(text):
             break
-        text = new
-    if _SUSPECT.search(text):
+        text, words = new, _beyond_ascii(new)
+    if _SUSPECT.search(words):
         text = _by_sentence(text, _SUSPECT, how)
     if "�" in text:
         how.append("lost")
@@ -308,7 +317,8 @@ def restore(text: str) -> tuple[bool, str, list[str]]:
 
 
 def mend(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds garbled (boolean), restored (the text, mended where possible) and readings (array of what was undone).
+    """Adds garbled (boolean), restored (the text, mended where possible), readings (array of what was undone) and words
+    (of texts that aren't garbled: see sentence_words).
 
     Null texts give garbled false and restored null; empty texts stay. Texts are read whole, however long. Repeated rows
     stay; columns with the added names are replaced. There is no shuffle beyond spreading few partitions over the cores.
@@ -317,15 +327,18 @@ def mend(df: DataFrame, text: str = "text") -> DataFrame:
 
     def one(texts: pd.Series) -> pd.DataFrame:
         got = [(False, None, []) if t is None else restore(t) for t in texts]
-        return pd.DataFrame({"garbled": [g[0] for g in got], "restored": [g[1] for g in got], "readings": [g[2] for g in got]})
+        words = [[] if g[0] or g[1] is None or g[1].isascii() else [{"sentence": i, "words": w} for i, w in sentence_words(g[1])] for g in got]
+        return pd.DataFrame({"garbled": [g[0] for g in got], "restored": [g[1] for g in got], "readings": [g[2] for g in got], "words": words})
 
-    out = spread(df.drop("garbled", "restored", "readings")).withColumn("__mend", F.pandas_udf(one, "struct<garbled boolean, restored string, readings array<string>>")(text))
+    added = ["garbled", "restored", "readings", "words"]
+    kind = "struct<garbled boolean, restored string, readings array<string>, words array<struct<sentence int, words array<string>>>>"
+    out = spread(df.drop(*added)).withColumn("__mend", F.pandas_udf(one, kind)(text))
     return out.select(*[c for c in out.columns if c != "__mend"], "__mend.*")
 
 
 #: A word is taken for garbled if another reading is at least so many times as frequent, in at least so many texts.
 LEAST_RATIO, LEAST_TEXTS = 10, 3
-_SENTENCES = r"\n|(?<=[.!?。]) "
+_DIGITS = re.compile(r"\d+")
 
 
 def _rereadings() -> dict[str, dict[int, int]]:
@@ -351,21 +364,26 @@ def reread(word: str, tables: dict[str, dict[int, int]]) -> list[tuple[str, str]
     return [(name, new) for name, table in tables.items() if high <= table.keys() and (new := word.translate(table)) != word]
 
 
-def odd_sentences(texts: DataFrame, key: str, text: str) -> DataFrame:
+def sentence_words(text: str) -> list[tuple[int, list[str]]]:
+    """(number, words with signs beyond ASCII, digits alike) of the sentences that have any."""
+    found = [(i, s) for i, s in enumerate(_SENTENCE_END.split(text)) if not s.isascii()]
+    return [(i, list(dict.fromkeys(w for w in _DIGITS.sub("0", s).split() if not w.isascii()))) for i, s in found]
+
+
+def odd_sentences(sentences: DataFrame, key: str) -> DataFrame:
     """key, sentence (its number), reading of sentences that a wrong single-byte reading explains, learned from the texts.
 
+    sentences: key and words (what sentence_words gives of a text).
+
     Words, with their digits alike, are counted once per text. A sentence is garbled if one reading turns every word of it
     that has signs beyond ASCII into a word at least as frequent, and one of them into a word LEAST_RATIO times as frequent
     that LEAST_TEXTS have. Rows repeated with one key count once. Only words and keys are shuffled; of the joined tables
     the right one has only words that have a more frequent reading.
     """
-    ship_package(texts.sparkSession)
-    words = lambda x: F.filter(F.split(F.regexp_replace(x, r"\d+", "0"), r"\s+"), lambda w: w.rlike(r"[^\x00-\x7f]"))
-    sentences = texts.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(key, F.posexplode(F.split(text, _SENTENCES)).alias("sentence", "s")).where(F.col("s").rlike(r"[^\x00-\x7f]")).select(key, "sentence", F.array_distinct(words(F.col("s"))).alias("w"))
-    each = sentences.select(key, "sentence", F.size("w").alias("k"), F.explode("w").alias("word"))
-    each = cut(each)
+    ship_package(sentences.sparkSession)
+    each = sentences.select(key, F.explode("words").alias("s")).select(key, F.col("s.sentence").alias("sentence"), F.size("s.words").alias("k"), F.explode("s.words").alias("word"))
     counts = cut(each.select(key, "word").distinct().groupBy("word").agg(F.count("*").alias("n")))
-    tables = texts.sparkSession.sparkContext.broadcast(_rereadings())
+    tables = sentences.sparkSession.sparkContext.broadcast(_rereadings())
 
     def read(column: pd.Series) -> pd.Series:
         return pd.Series([[{"reading": a, "new": b} for a, b in reread(w, tables.value)] for w in column], index=column.index)
@@ -378,28 +396,23 @@ def odd_sentences(texts: DataFrame, key: str, text: str) -> DataFrame:
     return explained.where((F.col("found") == F.col("k")) & F.col("far")).groupBy(key, "sentence").agg(F.min_by("reading", usual).alias("reading"))
 
 
-def _documents(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, restored, readings of documents that show garbled spans; doc_id, sentence, reading of those that the corpus shows)."""
-    mended = cut(mend(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "garbled", "restored", "readings"))
-    return mended.where("garbled"), odd_sentences(mended.where(~F.col("garbled")), "doc_id", "restored")
-
-
 def p10_found(spark, sf_dir: str) -> DataFrame:
     """doc_id of every document with a garbled passage."""
-    spans, odd = _documents(spark, sf_dir)
-    return spans.select("doc_id").unionByName(odd.select("doc_id").distinct())
+    mended = cut(mend(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "garbled", "words"))
+    return mended.where("garbled").select("doc_id").unionByName(odd_sentences(mended, "doc_id").select("doc_id").distinct())
 
 
 def p10_restored(spark, sf_dir: str) -> DataFrame:
     """doc_id, restored, readings of every document with a garbled passage."""
-    spans, odd = _documents(spark, sf_dir)
+    mended = cut(mend(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "garbled", F.when(F.col("garbled"), F.col("restored")).alias("restored"), "readings", "words"))
+    odd = odd_sentences(mended, "doc_id")
     by_text = odd.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sentence", "reading"))).alias("odd"))
     tables = spark.sparkContext.broadcast(_rereadings())
 
     def turn(texts: pd.Series, odd_: pd.Series) -> pd.Series:
         out = []
         for text, found in zip(texts, odd_):
-            ends = [0, *(m.end() for m in re.finditer(_SENTENCES, text)), len(text)]
+            ends = [0, *(m.end() for m in _SENTENCE_END.finditer(text)), len(text)]
             parts = [text[a:b] for a, b in zip(ends, ends[1:])]
             for x in found:
                 parts[x["sentence"]] = parts[x["sentence"]].translate(tables.value[x["reading"]])
@@ -408,4 +421,4 @@ def p10_restored(spark, sf_dir: str) -> DataFrame:
 
     whole = read_table(spark, sf_dir, "documents").select("doc_id", "text").join(by_text, "doc_id")
     more = whole.select("doc_id", F.pandas_udf(turn, "string")("text", "odd").alias("restored"), F.array_distinct(F.transform("odd", lambda x: x["reading"])).alias("readings"))
-    return spans.select("doc_id", "restored", "readings").unionByName(more)
+    return mended.where("garbled").select("doc_id", "restored", "readings").unionByName(more)

@@ -263,9 +263,10 @@ def test_words_of_the_corpus_show_wrong_readings(spark):
     rows = [(i, f"Kept at {i} °C. Press “Service” – then wait.") for i in range(40)] + [(100, "Kept at 7 ∞C. Press ìServiceî ñ then wait."), (101, "Optics: ∞ corrected."), (102, "El niño está aquí."), (103, None), (104, ""), (100, "Kept at 7 ∞C. Press ìServiceî ñ then wait.")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert not any(restore(t)[0] for _, t in rows if t)
-    got = {(r["doc_id"], r["sentence"]): r["reading"] for r in odd_sentences(df, "doc_id", "text").collect()}
+    words = mend(df)
+    got = {(r["doc_id"], r["sentence"]): r["reading"] for r in odd_sentences(words, "doc_id").collect()}
     assert got == {(100, 0): "cp1252 as mac_roman", (100, 1): "cp1252 as mac_roman"}
-    assert odd_sentences(df.where("doc_id > 100"), "doc_id", "text").count() == 0 and odd_sentences(df.limit(0), "doc_id", "text").count() == 0
+    assert odd_sentences(words.where("doc_id > 100"), "doc_id").count() == 0 and odd_sentences(words.limit(0), "doc_id").count() == 0
 
 
 def test_further_scripts_and_stacked_decodings():
