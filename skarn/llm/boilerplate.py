@@ -126,6 +126,7 @@ def page_features(source: str, url: str | None = None) -> tuple:
     head = "\n".join([page.title, *headings])
     own = [page.title, *headings, *(x.text for x in lines if x.shape == "n")]
     title_terms, slug_terms = terms_of(_LEAD.split(page.title)[0]), terms_of((url or "").split("://")[-1].partition("/")[2])
+    wanted = title_terms | slug_terms
     texts: dict[int, list[str]] = {}
     for x in lines:
         texts.setdefault(x.block, []).append(x.text)
@@ -137,8 +138,9 @@ def page_features(source: str, url: str | None = None) -> tuple:
     for x in lines:
         code = _SHAPES[x.shape] | marks[x.block] | (AROUND_ZONE if x.zone == "c" else MAIN_ZONE if x.zone == "m" else 0) | (HEADING if x.heading else 0) | (ITEM if x.item else 0)
         if x.zone != "c":
-            found = _TEASER.match(x.text)
-            words = terms_of(x.text)
+            found = _TEASER.match(x.text) if ": " in x.text else None
+            low = x.text.lower()
+            words = terms_of(low) if any(t in low for t in wanted) else set()
             code |= (PHRASE if _around(x.text) else 0) | (TITLE_TERM if words & title_terms else 0) | (SLUG_TERM if words & slug_terms else 0) | (OWN_NAME if x.shape == "n" and x.text in head else 0)
             code |= TEASER if found and not any(y == found[1] or y.startswith(found[1] + " ") for y in own) else 0
         codes.append(code)

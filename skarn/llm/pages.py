@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import xxhash
 
@@ -35,7 +36,7 @@ def digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-@dataclass
+@dataclass(slots=True)
 class Line:
     no: int
     text: str = ""
@@ -64,7 +65,14 @@ def normal(text: str) -> str:
     return _DIGITS.sub("#", " ".join(text.lower().split()))
 
 
-def shape_of(text: str, cell: bool, linked: bool) -> str:
+@lru_cache(maxsize=131072)
+def hash_of(text: str) -> int:
+    """The hash of a block: that of its text without a bullet, in lower case, numbers alike. Menu lines recur, so it is kept."""
+    return digest(normal(_BULLET.sub("", text)))
+
+
+@lru_cache(maxsize=131072)
+def shape_of(text: str, cell: bool) -> str:
     words = text.split()
     if cell:
         return "v"
@@ -150,7 +158,7 @@ def read_page(source: str) -> Page:
                     break
             zone = stack[-1][1] if stack else ""
         elif tag not in VOID and not rest.rstrip().endswith("/"):
-            names = " ".join(x[1].strip("\"'") for x in _ATTR.findall(rest))
+            names = " ".join(x[1].strip("\"'") for x in _ATTR.findall(rest)) if "=" in rest else ""
             if tag in ("head", "title"):
                 zone = "x"
             elif zone not in ("x", "c"):
@@ -161,7 +169,8 @@ def read_page(source: str) -> Page:
             flags = (stack[-1][3] if stack else 0) | FLAGS.get(tag, 0)
             stack.append((tag, zone, no, flags))
     for no, pieces in parts.items():
-        lines[no - 1].text = " ".join(" ".join(html.unescape("".join(pieces)).split()).split())
+        text = "".join(pieces)
+        lines[no - 1].text = " ".join((html.unescape(text) if "&" in text else text).split())
     title = re.search(r"<title[^>]*>(.*?)</title>", source, re.S | re.I)
     page.title = " ".join(html.unescape(title[1]).split()) if title else ""
     _finish(page)
@@ -181,9 +190,9 @@ def _finish(page: Page) -> None:
             groups.setdefault(line.block, []).append(line)
     for group in groups.values():
         whole = " ".join(x.text for x in group)
-        number = digest(normal(_BULLET.sub("", whole)))
+        number = hash_of(whole)
         linked = sum(x.linked for x in group) * 2 > len(whole)
-        shape = shape_of(_BULLET.sub("", whole), group[0].cell, linked)
+        shape = shape_of(_BULLET.sub("", whole), group[0].cell)
         if sum(x.pieces for x in group) >= 3 and shape in "sn" and len(whole) < 40 * sum(x.pieces for x in group):
             shape = "l"
         if group[0].gaps >= 2 and len(whole.split()) <= 14:
