@@ -30,8 +30,10 @@ TRAIN_PAIRS, CENTROID_SAMPLE, TUNING_QUERIES = 4000, 40_000, 400
 MOST_NAMES = 300_000
 #: Rows of an inverted list that the number of lists aims at, most lists, and rows of a search block; longer lists are cut into several.
 LIST_ROWS, MOST_LISTS, BLOCK = 32, 4096, 2048
+#: Rows that one call of a search function gets: several blocks, since a call costs more than a short list.
+BUNDLE = 16_384
 #: Least similarity of candidates with a model number, by words alone, and share of exact neighbours that the probes must find.
-NEAR, NEAR_WORDS, RECALL = 0.4, 0.5, 0.998
+NEAR, NEAR_WORDS, RECALL = 0.4, 0.5, 0.995
 #: How much less alike than its nearest neighbour a mutual neighbour may be.
 MARGIN = 0.4
 # Categories that say nothing about the product.
@@ -223,6 +225,22 @@ def _blocks(placed: DataFrame) -> DataFrame:
     return F.broadcast(placed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(BLOCK))).cast("int").alias("parts")))
 
 
+def _bundles(rows: DataFrame) -> int:
+    """How many bundles of about BUNDLE rows a frame makes."""
+    return max(1, -(-rows.count() // BUNDLE))
+
+
+def _spans(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of the runs of equal values in sorted columns."""
+    n = len(columns[0])
+    changes = np.zeros(n, bool)
+    for c in columns:
+        changes[1:] |= c[1:] != c[:-1]
+    changes[:1] = True
+    starts = np.flatnonzero(changes)
+    return list(zip(starts, np.r_[starts[1:], n]))
+
+
 def spanning(v: np.ndarray, maker: np.ndarray, category: np.ndarray, home: np.ndarray) -> list[tuple[int, int, float]]:
     """The most alike pairs that connect rows of one model number as all allowed pairs do: a greatest spanning forest.
 
@@ -254,21 +272,21 @@ def search(index: DataFrame, centre: np.ndarray, probes: int) -> DataFrame:
     """
     placed = cut(_placed(index.where(F.col("model") != 0).select("class", "v", *CODES), centre, "v", F.lit(probes)))
     rows = placed.select("class", "v", *CODES, F.posexplode("lists").alias("place", "list")).join(_blocks(placed), "list")
-    rows = rows.select("list", F.pmod(F.xxhash64("model"), F.col("parts")).cast("int").alias("part"), "class", "v", *CODES, (F.col("place") == 0).alias("home"))
+    part = F.pmod(F.xxhash64("model"), F.col("parts"))
+    bundle = F.pmod(F.xxhash64("list", part), F.lit(_bundles(placed.select(F.explode("lists"))))).cast("int")
+    rows = rows.select(bundle.alias("bundle"), "list", "class", "v", *CODES, (F.col("place") == 0).alias("home"))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("model", kind="stable", ignore_index=True)
-        model, home = pdf["model"].to_numpy(), pdf["home"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, model[1:] != model[:-1]])
-        ends = np.r_[starts[1:], len(model)]
-        several = [(a, b) for a, b in zip(starts, ends) if b - a > 1 and home[a:b].any()]
+        pdf = pdf.sort_values(["list", "model"], kind="stable", ignore_index=True)
+        home = pdf["home"].to_numpy()
+        several = [(a, b) for a, b in _spans(pdf["list"].to_numpy(), pdf["model"].to_numpy()) if b - a > 1 and home[a:b].any()]
         if not several:
             return pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": "int64", "b": "int64", "similarity": "float32"})
         v, maker, category, names = unpacked(pdf["v"]), pdf["maker"].to_numpy(), pdf["category"].to_numpy(), pdf["class"].to_numpy()
         got = [(names[a + i], names[a + j], s) for a, b in several for i, j, s in spanning(v[a:b], maker[a:b], category[a:b], home[a:b])]
         return pd.DataFrame([(min(i, j), max(i, j), s) for i, j, s in got if i != j], columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float32"})
 
-    pairs = rows.groupBy("list", "part").applyInPandas(meet, "a bigint, b bigint, similarity float")
+    pairs = rows.groupBy("bundle").applyInPandas(meet, "a bigint, b bigint, similarity float")
     return pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
@@ -315,7 +333,7 @@ def search_by_words(index: DataFrame, centre: np.ndarray, probes: int) -> DataFr
     """
     unnumbered = F.col("model") == 0
     placed = cut(_placed(index.select("class", "w", *CODES, "keys", "values"), centre, "w", F.when(unnumbered, probes).otherwise(1)))
-    columns = [F.col(c).alias(c) for c in ("list", "block", "part", "class", "w", *CODES, "keys", "values")]
+    columns = ["list", "block", "part", "class", "w", *CODES, "keys", "values"]
     asking, lying = placed.where(unnumbered), placed.withColumn("list", F.col("lists")[0])
     blocks = lying.groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(BLOCK))).cast("int").alias("blocks"))
     plan = F.broadcast(_blocks(asking).join(blocks, "list"))  # one row per centroid
@@ -323,9 +341,20 @@ def search_by_words(index: DataFrame, centre: np.ndarray, probes: int) -> DataFr
     queries = asking.withColumn("list", F.explode("lists")).join(plan, "list")
     queries = queries.withColumn("part", F.pmod(F.xxhash64("class", F.lit(2)), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
-    def meet(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or d.empty:
-            return pd.DataFrame({"x": [], "y": [], "model": [], "similarity": [], "score": []}).astype({"x": "int64", "y": "int64", "model": "int64", "similarity": "float32", "score": "float64"})
+    both = queries.select(F.lit(True).alias("asks"), *columns).unionByName(rows.select(F.lit(False).alias("asks"), *columns))
+    both = both.withColumn("bundle", F.pmod(F.xxhash64("list", "block", "part"), F.lit(_bundles(both))).cast("int"))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["list", "block", "part", "asks"], kind="stable", ignore_index=True)
+        asks = pdf["asks"].to_numpy()
+        out = [pd.DataFrame({"x": [], "y": [], "model": [], "similarity": [], "score": []}).astype({"x": "int64", "y": "int64", "model": "int64", "similarity": "float32", "score": "float64"})]
+        for a, b in _spans(*(pdf[c].to_numpy() for c in ("list", "block", "part"))):
+            middle = a + int((~asks[a:b]).sum())
+            if a < middle < b:
+                out.append(best(pdf.iloc[middle:b], pdf.iloc[a:middle]))
+        return pd.concat(out, ignore_index=True)
+
+    def best(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         n = len(q)
         alike = unpacked(q["w"]) @ unpacked(d["w"]).T
         i, j = np.nonzero(alike >= NEAR_WORDS)
@@ -341,7 +370,7 @@ def search_by_words(index: DataFrame, centre: np.ndarray, probes: int) -> DataFr
         siblings = siblings[siblings["score"] == siblings.groupby("x")["score"].transform("max")]
         return pd.concat([numbered, siblings], ignore_index=True)
 
-    return queries.select(*columns).groupBy("list", "block", "part").cogroup(rows.select(*columns).groupBy("list", "block", "part")).applyInPandas(meet, SCORED)
+    return both.groupBy("bundle").applyInPandas(meet, SCORED)
 
 
 def unnumbered_links(scored: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from skarn.llm.mapping import map_names
-from skarn.llm.matching import NEAR, agreeing, agreement, components, group_listings, search, spanning, tune_probes
+from skarn.llm.matching import NEAR, RECALL, agreeing, agreement, components, group_listings, search, spanning, tune_probes
 from skarn.llm.models import Names, base_of, maker_key, model_of
 from skarn.llm.packing import best_fit_decreasing, lower_bound, pack
 from skarn.llm.surviving import discover_truth
@@ -294,11 +294,11 @@ def test_search_finds_what_probed_lists_hold(spark):
     v = {r[0]: np.frombuffer(r[1], np.int8).astype(np.float32) / 127 for r in rows}
     exact = [(a[0], b[0]) for a in numbered for b in numbered if a[0] < b[0] and a[5] == b[5] and a[3] == b[3] and v[a[0]] @ v[b[0]] >= NEAR]
     probes, recall = tune_probes(index, centre, "v", True)
-    assert recall >= 0.998 and probes <= 8
+    assert recall >= RECALL and probes <= 8
     for n in (8, probes):
         found = components(search(index, centre, n).select("a", "b"))
         of = {r["node"]: r["component"] for r in found.collect()}
-        assert sum(of.get(a, -1) == of.get(b, -2) for a, b in exact) >= 0.998 * len(exact)
+        assert sum(of.get(a, -1) == of.get(b, -2) for a, b in exact) >= RECALL * len(exact)
     assert tune_probes(index.where("model = 0").limit(1), centre, "w", False) == (8, None) and tune_probes(index.limit(0), centre, "v", True) == (8, None)
 
 
