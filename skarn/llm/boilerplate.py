@@ -23,6 +23,8 @@ from skarn.session import cut, read_table, ship_package, spread
 
 #: A subtree is a site's template if it stands on at least so many pages of the host, and on this share of them.
 LEAST_PAGES, LEAST_SHARE = 4, 0.12
+#: Below so many pages, or this share of them, a host says too little of a block, and phrases of surroundings may decide.
+TELLING_PAGES, TELLING_SHARE = 4, 0.12
 #: A hash on more than one of so many of all lines is joined by broadcast, so at most as many hashes are.
 HOT_SHARE = 10_000
 # Phrases of surroundings in several languages, as patterns over normalised text.
@@ -166,7 +168,7 @@ def with_features(df: DataFrame, source: str = "html", url: str | None = None) -
 
 
 def host_facts(pages: DataFrame) -> DataFrame:
-    """hash, host, on_host, recurs, lean, named of every block and subtree of which anything is known beyond one page.
+    """hash, host, on_host, recurs, thin, lean, named of every block and subtree of which anything is known beyond one page.
 
     recurs: the hash is on at least LEAST_PAGES pages of the host, and on LEAST_SHARE of them. lean: whether pages, of any host, have it in marked surroundings more often than in a marked main part: 2
     (more than twice as often), 1 (more often), 0 (alike), -1 (less often). named: some page goes by this name. Counts are
@@ -183,12 +185,12 @@ def host_facts(pages: DataFrame) -> DataFrame:
     known = per_host.where(F.col("on_host") > 0).join(overall, "hash", "left").join(sizes, "host").where((F.col("on_host") > 1) | F.col("hosts").isNotNull())
     around, main = F.coalesce("around", F.lit(0)), F.coalesce("main", F.lit(0))
     return known.select(
-        "hash", "host", "on_host", ((F.col("on_host") >= LEAST_PAGES) & (F.col("on_host") >= F.col("size") * LEAST_SHARE)).alias("recurs"),
+        "hash", "host", "on_host", ((F.col("on_host") >= LEAST_PAGES) & (F.col("on_host") >= F.col("size") * LEAST_SHARE)).alias("recurs"), ((F.col("on_host") < TELLING_PAGES) | (F.col("on_host") < F.col("size") * TELLING_SHARE)).alias("thin"),
         F.when((around > main * 2) & (around >= 2), 2).when(around > main, 1).when(around == main, 0).otherwise(-1).alias("lean"), (F.coalesce("named", F.lit(0)) > 0).alias("named"),
     )
 
 
-# What is known of a hash, as bits; thin: it does not recur on the host.
+# What is known of a hash, as bits.
 RECURS, THIN, NAMED, LEAN = 1, 2, 4, 8
 
 
@@ -200,7 +202,7 @@ def line_roles(pages: DataFrame, key: str) -> DataFrame:
     """
     facts = cut(host_facts(pages))
     total = facts.agg(F.sum("on_host")).first()[0] or 0
-    facts = facts.select("hash", "host", "on_host", (F.when(F.col("recurs"), RECURS).otherwise(THIN) + F.when(F.col("named"), NAMED).otherwise(0) + (F.col("lean") + 1) * LEAN).alias("fact"))
+    facts = facts.select("hash", "host", "on_host", (F.when(F.col("recurs"), RECURS).otherwise(0) + F.when(F.col("thin"), THIN).otherwise(0) + F.when(F.col("named"), NAMED).otherwise(0) + (F.col("lean") + 1) * LEAN).alias("fact"))
     is_hot = F.col("on_host") > max(1000, total // HOT_SHARE)
     each = pages.select(key, "host", F.explode(F.array_distinct(F.concat("page.hash", "page.tree"))).alias("hash"))
     some = each.join(F.broadcast(facts.where(is_hot).select("hash", "host", F.col("fact").alias("hot"))), ["hash", "host"], "left")
@@ -219,7 +221,7 @@ def _roles(page: pd.DataFrame, hashes: pd.Series, facts: pd.Series) -> pd.Series
 
 
 def roles_of(no, hashes, codes, trees, facts: dict[int, int]) -> list[bool]:
-    """Whether each line is main text. facts: what is known of a hash (RECURS or THIN, NAMED, and lean + 1 times LEAN)."""
+    """Whether each line is main text. facts: what is known of a hash (RECURS, THIN, NAMED, and lean + 1 times LEAN)."""
     unknown = THIN | LEAN
     deleted = [(first, last) for h, first, last in trees if facts.get(h, unknown) & RECURS]
     role: list[str] = []
