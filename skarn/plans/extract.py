@@ -10,6 +10,7 @@ from skarn.functions.specvalue import spec_value
 from skarn.functions.text import attribute_key, clean_variant, interfaces
 from skarn.operators.grids import grid_records, is_no_spec_table, is_order_list, orientation, plausible_names
 from skarn.operators.signals import SPEC_HEADINGS, page_signals, score
+from skarn.session import cut
 from skarn.sources.html import with_page
 
 # Headings under which a table holds no specifications.
@@ -53,14 +54,15 @@ def page_records(pages: DataFrame, key: str) -> DataFrame:
     tables = best_tables(pages, key)
     head = lambda g: F.slice(F.get(g, F.lit(0)), 2, F.greatest(F.size(F.get(g, F.lit(0))) - 1, F.lit(0)))
     side = lambda g: F.transform(F.slice(g, 2, F.greatest(F.size(g) - 1, F.lit(0))), lambda r: F.coalesce(F.get(r, F.lit(0)), F.lit("")))
-    found = orientation(F.col("grid"))["orientation"]
-    across, down = plausible_names(head(F.col("grid")), F.col("name"), F.lit("")), plausible_names(side(F.col("grid")), F.col("name"), F.lit(""))
+    # Written once: the signs of a grid are large expressions that what follows uses several times.
+    tables = cut(tables.withColumns({"found": orientation(F.col("grid"))["orientation"], "across": plausible_names(head(F.col("grid")), F.col("name"), F.lit("")), "down": plausible_names(side(F.col("grid")), F.col("name"), F.lit(""))}))
+    found, across, down = F.col("found"), F.col("across"), F.col("down")
     pair = ~across & ~down & (F.size(F.get("grid", F.lit(0))) == 2)  # labels and values of one device, without a header
     forced = F.when((found == "attribute_major") & ~across & down, "variant_major").when((found == "variant_major") & ~down & across | pair, "attribute_major").otherwise(found)
     several = F.when(found == "attribute_major", F.size(head(F.col("grid")))).otherwise(F.size(side(F.col("grid")))) > 1
     tables = tables.withColumn("forced", forced).withColumn("pair", pair).withColumn("flat", ~across & ~down & ~pair & several)
     tables = tables.withColumn("grid", F.when(F.col("pair"), F.concat(F.array(F.array(F.lit(""), F.col("name"))), F.col("grid"))).otherwise(F.col("grid")))
-    cells = grid_records(tables, key, "grid", F.col("forced")).join(tables.select(key, "flat", F.col("name").alias("page_name")), key)
+    cells = grid_records(tables.withColumn("__of", F.struct(key, "flat", F.col("name").alias("page_name"))), "__of", "grid", F.col("forced")).select("*", "__of.*").drop("__of")
     kept = cells.where((F.trim("attribute") != "") & (F.trim("value") != ""))
     kept = kept.withColumns({
         "attribute": F.when(F.col("flat"), F.format_string("%s (%s)", "attribute", "entity")).otherwise(F.col("attribute")),
