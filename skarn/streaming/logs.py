@@ -24,37 +24,61 @@ def stalls(stream: DataFrame, at: str, key: str, gap: str = "600 seconds", late:
     return runs.select("key", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
-def upsert_latest(stream: DataFrame, key: list[str], order: list[str], target: str, checkpoint: str):
+def upsert_latest(stream: DataFrame, key: list[str], order: list[str], target: str, checkpoint: str, compact: int = 64):
     """Keeps the last row per key of a stream in the folder target; a batch that is run again changes nothing.
 
-    Each batch is written to its own folder beside the last one, so a reader never sees a half-written table.
+    Each batch writes the last rows of its own keys to a folder of its own, so it costs what the batch costs; reading takes
+    the last of all. Every so many batches what was written since the last base becomes a new base. Folders that a base
+    replaces are removed when the next base is there, so that whoever reads one keeps it.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        path = f"{target}/v={number}"
-        before = [n for n in _versions(spark, target) if n < number]
-        rows = batch.unionByName(spark.read.parquet(f"{target}/v={max(before)}")) if before else batch
-        latest(rows, key, [F.col(o) for o in order]).write.mode("overwrite").parquet(path)
+        spark, last = batch.sparkSession, [F.col(o) for o in order]
+        latest(batch, key, last).write.mode("overwrite").parquet(f"{target}/v={number}")
+        if (number + 1) % compact == 0:
+            bases = [n for n in _finished(spark, target, "base") if n < number]
+            _merged(spark, target, key, order, upto=number).write.mode("overwrite").parquet(f"{target}/base={number}")
+            if bases:
+                _remove(spark, target, max(bases))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append")
 
 
-def read_latest(spark: SparkSession, target: str) -> DataFrame:
-    """The table that upsert_latest has written last."""
-    return spark.read.parquet(f"{target}/v={max(_versions(spark, target))}")
-
-
-def _versions(spark: SparkSession, target: str) -> list[int]:
-    """Finished versions: folders that hold a success mark."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        return []
-    out = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return out
+def read_latest(spark: SparkSession, target: str, key: list[str], order: list[str]) -> DataFrame:
+    """The table that upsert_latest keeps: of the newest base and all batches after it the last row per key."""
+    return _merged(spark, target, key, order)
+
+
+def _merged(spark: SparkSession, target: str, key: list[str], order: list[str], upto: int | None = None) -> DataFrame:
+    wanted = lambda n: upto is None or n <= upto
+    base = max((n for n in _finished(spark, target, "base") if wanted(n) and n != upto), default=-1)
+    paths = [f"{target}/v={n}" for n in _finished(spark, target, "v") if n > base and wanted(n)] + ([f"{target}/base={base}"] if base >= 0 else [])
+    return latest(spark.read.parquet(*paths), key, [F.col(o) for o in order])
+
+
+def _folder(spark: SparkSession, target: str):
+    """(file system, path) of a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _numbered(spark: SparkSession, target: str, kind: str) -> dict:
+    fs, path = _folder(spark, target)
+    found = [status.getPath() for status in fs.listStatus(path)] if fs.exists(path) else []
+    return {int(p.getName().split("=")[1]): p for p in found if p.getName().startswith(f"{kind}=")}
+
+
+def _finished(spark: SparkSession, target: str, kind: str) -> list[int]:
+    """Numbers of the finished folders of a kind (v or base): those that hold a success mark."""
+    fs, _ = _folder(spark, target)
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return sorted(n for n, p in _numbered(spark, target, kind).items() if fs.exists(mark(p, "_SUCCESS")))
+
+
+def _remove(spark: SparkSession, target: str, upto: int) -> None:
+    """Removes what the base of this number replaced: batches up to it, and older bases."""
+    fs, _ = _folder(spark, target)
+    for kind, least in (("v", upto + 1), ("base", upto)):
+        for n, path in _numbered(spark, target, kind).items():
+            if n < least:
+                fs.delete(path, True)

@@ -160,11 +160,16 @@ def test_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     (folder / "1.json").write_text('{"k":"a","n":1}\n{"k":"b","n":1}\n')
-    run = lambda: upsert_latest(read_log(spark, str(folder), "k string, n int"), ["k"], ["n"], str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    out = str(tmp_path / "out")
+    run = lambda: upsert_latest(read_log(spark, str(folder), "k string, n int"), ["k"], ["n"], out, str(tmp_path / "ck"), compact=2).trigger(availableNow=True).start().awaitTermination()
+    table = lambda: {tuple(r) for r in read_latest(spark, out, ["k"], ["n"]).collect()}
     run()
-    (folder / "2.json").write_text('{"k":"a","n":2}\n')
-    run()
-    assert {tuple(r) for r in read_latest(spark, str(tmp_path / "out")).collect()} == {("a", 2), ("b", 1)}
+    assert table() == {("a", 1), ("b", 1)}
+    for i in range(2, 8):
+        (folder / f"{i}.json").write_text(f'{{"k":"a","n":{i}}}\n{{"k":"c{i}","n":1}}\n{{"k":"b","n":0}}\n')
+        run()
+        assert table() == {("a", i), ("b", 1)} | {(f"c{j}", 1) for j in range(2, i + 1)}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["base=3", "base=5", "v=4", "v=5", "v=6"]
 
 
 def test_entry(spark, small):
