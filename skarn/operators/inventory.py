@@ -32,6 +32,12 @@ def depth_histogram(df: DataFrame, url: str, prefix: str = "") -> DataFrame:
     return kept.groupBy(U.depth(F.col(url)).alias("depth")).agg(F.count("*").alias("count"))
 
 
+def depths_by_root(df: DataFrame, url: str) -> DataFrame:
+    """root (the first path segment, empty if there is none), depth, count: the depth histogram of every part of a site."""
+    root = F.coalesce(F.get(U.segments(F.col(url)), F.lit(0)), F.lit(""))
+    return df.groupBy(root.alias("root"), U.depth(F.col(url)).alias("depth")).agg(F.count("*").alias("count"))
+
+
 def _slashed(url: Column) -> Column:
     path = U.path(url)
     return F.when(path.endswith("/"), path).otherwise(F.concat(path, F.lit("/")))

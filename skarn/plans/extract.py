@@ -101,6 +101,18 @@ def pivot_category(records: DataFrame, category: str, coverage: float = 0.5) ->
     return records.where(F.col("category") == category).select("listing_id", "name", "url", *[F.coalesce(F.try_element_at("specs", F.lit(c)), F.lit("")).alias(c) for c in columns])
 
 
+def pivot_categories(records: DataFrame, coverage: float = 0.5) -> DataFrame:
+    """listing_id, category, cells (map of attribute to text): every record with the frequent attributes of its category,
+    in long form, since each category has its own columns. Records without a category belong to the empty one."""
+    rows = records.withColumn("category", F.coalesce("category", F.lit("")))
+    sizes = rows.groupBy("category").agg(F.count("*").alias("n"))
+    counts = rows.where(F.col("specs").isNotNull()).select("category", F.explode(F.map_keys("specs")).alias("a")).groupBy("category", "a").agg(F.count("*").alias("k"))
+    frequent = counts.join(sizes, "category").where(F.col("k") >= F.greatest(F.lit(1), F.floor(F.col("n") * coverage)))
+    columns = frequent.groupBy("category").agg(F.array_sort(F.collect_list("a")).alias("columns"))  # the columns of one table
+    cell = lambda a: F.coalesce(F.try_element_at("specs", a), F.lit(""))
+    return rows.join(columns, "category").select("listing_id", "category", F.map_from_arrays("columns", F.transform("columns", cell)).alias("cells"))
+
+
 def scope_by_words(entries: DataFrame, text: str, url: str) -> DataFrame:
     """Adds in_scope: menu entries that look like products without a model's help: catalogue address, no editorial one."""
     return entries.withColumn("in_scope", (U.crawl_priority(F.col(url)) == 0) & ~U.is_editorial(F.col(url)) & ~F.coalesce(F.lower(F.col(text)).rlike(r"service|support|news|career|about|contact|software|training"), F.lit(False)))

@@ -85,9 +85,10 @@ def url_prefix_tree(spark: SparkSession, d: str) -> DataFrame:
     return out.select("prefix", "depth", "count", F.array_join("samples", " ").alias("samples"))
 
 
-@query(f"SELECT CAST(len({_p('seg')}) AS INT) AS depth, count(*) AS count FROM fetch_index WHERE starts_with({_p('path')}, '/en') GROUP BY 1")
+@query(f"SELECT coalesce({_p('seg')}[1], '') AS root, CAST(len({_p('seg')}) AS INT) AS depth, count(*) AS count FROM fetch_index GROUP BY 1, 2")
 def url_depth_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return inventory.depth_histogram(read_table(spark, d, "fetch_index"), "url", "/en")
+    """Depths of all fetched URLs by the first segment of their path."""
+    return inventory.depths_by_root(read_table(spark, d, "fetch_index"), "url")
 
 
 #: SQL of the derived URL set: pages and the category pages above them.
@@ -278,15 +279,13 @@ def devices_wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH m AS (SELECT listing_id, specs FROM device_records WHERE category = 'Water baths'), n AS (SELECT greatest(1, CAST(floor(count(*) * 0.5) AS BIGINT)) AS least FROM m), e AS (SELECT listing_id, e.key AS a, e.value AS v FROM m, unnest(map_entries(specs)) AS t(e)),
-    c AS (SELECT a FROM e, n GROUP BY a, least HAVING count(*) >= least) SELECT m.listing_id, string_agg(c.a || '=' || coalesce(e.v, ''), '|' ORDER BY c.a) AS cells FROM m CROSS JOIN c LEFT JOIN e ON e.listing_id = m.listing_id AND e.a = c.a GROUP BY m.listing_id"""
+    """WITH m AS (SELECT listing_id, coalesce(category, '') AS category, specs FROM device_records), n AS (SELECT category, greatest(1, CAST(floor(count(*) * 0.5) AS BIGINT)) AS least FROM m GROUP BY category), e AS (SELECT listing_id, category, e.key AS a, e.value AS v FROM m, unnest(map_entries(specs)) AS t(e)),
+    c AS (SELECT category, a FROM e JOIN n USING (category) GROUP BY category, a, least HAVING count(*) >= least) SELECT m.listing_id, m.category, string_agg(c.a || '=' || coalesce(e.v, ''), '|' ORDER BY c.a) AS cells FROM m JOIN c ON c.category = m.category LEFT JOIN e ON e.listing_id = m.listing_id AND e.a = c.a GROUP BY m.listing_id, m.category"""
 )
 def category_pivot(spark: SparkSession, d: str) -> DataFrame:
-    """One category's frequent attributes as columns; here joined again, so that the result's columns are fixed."""
-    records = read_table(spark, d, "device_records")
-    p = extract.pivot_category(records, "Water baths")
-    names = [c for c in p.columns if c not in ("listing_id", "name", "url")]
-    return p.select("listing_id", F.concat_ws("|", *[F.concat(F.lit(c + "="), F.col(c)) for c in names]).alias("cells")) if names else p.select("listing_id", F.lit("").alias("cells")).limit(0)
+    """Every category's frequent attributes as columns; here joined again, so that the result's columns are fixed."""
+    p = extract.pivot_categories(read_table(spark, d, "device_records"))
+    return p.select("listing_id", "category", F.array_join(F.transform(F.map_entries("cells"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("cells"))
 
 
 _GRID = """once AS (SELECT table_id, attr_ord, ent_ord, max(attribute) AS attribute, max(entity) AS entity, max(coalesce(value, '')) AS value FROM spec_cells GROUP BY ALL)"""
