@@ -2,10 +2,12 @@
 
 import datetime
 import math
+import os
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skarn.llm.mapping import map_names
 from skarn.llm.matching import NEAR, RECALL, agreeing, agreement, components, group_listings, search, spanning, tune_probes
@@ -13,6 +15,7 @@ from skarn.llm.models import Names, base_of, maker_key, model_of
 from skarn.llm.packing import best_fit_decreasing, lower_bound, pack
 from skarn.llm.surviving import discover_truth
 from skarn.llm.vectors import centroids, train
+from skarn.session import cut, release
 
 
 def test_mapping(spark):
@@ -302,6 +305,62 @@ def test_search_finds_what_probed_lists_hold(spark):
     assert tune_probes(index.where("model = 0").limit(1), centre, "w", False) == (8, None) and tune_probes(index.limit(0), centre, "v", True) == (8, None)
 
 
+def _shuffled(plan):
+    """Records that the exchanges of a plan wrote when it ran."""
+    inner = "executedPlan" if plan.nodeName() == "AdaptiveSparkPlan" else "plan" if plan.nodeName().endswith("QueryStage") else ""
+    children = [getattr(plan, inner)()] if inner else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().get("shuffleRecordsWritten")
+    return (own.get().value() if own.isDefined() else 0) + sum(map(_shuffled, children))
+
+
+def _random_index(spark, n, models):
+    """An index of n rows, a tenth of them without a number, and 16 centroids."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((models, 16))
+    facts = lambda i: (np.array([1, 2, 3], np.int32).tobytes(), np.array([i % models, i % 5, i % 3], np.float64).tobytes())
+    rows = [(i, bytes(_packed([base[i % models] + 0.7 * rng.standard_normal(16)])), bytes(_packed([base[i % models]])), 1 + i % 2, 1, 1 + i % models if i % 10 else 0, 1, *facts(i)) for i in range(n)]
+    index = spark.createDataFrame(rows, "class long, v binary, w binary, maker long, series long, model long, category long, keys binary, values binary")
+    return index, centroids(np.stack([np.frombuffer(r[1], np.int8) / 127 for r in rows]).astype(np.float32), 16)
+
+
+def test_search_shuffles_a_row_once(spark):
+    """However many lists a row probes, it is shuffled once: copies for each list took more disk than there is."""
+    index, centre = _random_index(spark, 2000, 700)
+    written = {}
+    for probes in (1, 16):
+        found = search(index, centre, probes)
+        found.collect()
+        written[probes] = _shuffled(found._jdf.queryExecution().executedPlan())
+    assert written[1] < 4 * 2000 and written[16] < written[1] + 2 * 2000
+
+
+def test_search_in_parts(spark, monkeypatch):
+    """Numbers cut into parts, blocks cut into pieces and short blocks give what whole ones give."""
+    from skarn.llm import matching
+
+    index, centre = _random_index(spark, 600, 7)
+    numbered = lambda: sorted(map(tuple, search(index, centre, 5).collect()))
+    words = lambda: {tuple(r) for r in matching.search_by_words(index, centre, 5).where("model = 0").select("x", "y", "score").collect()}
+    whole, by_words = numbered(), words()
+    assert whole and by_words
+    monkeypatch.setattr(matching, "HOT", 10)
+    monkeypatch.setattr(matching, "PAIRS", 40)
+    assert numbered() == whole and words() == by_words
+    monkeypatch.setattr(matching, "BLOCK", 16)
+    assert words() >= by_words
+
+
+def test_release(spark):
+    """What nothing reads any more leaves the disk at once; what was made of it stays."""
+    first = cut(spark.range(100).toDF("x"))
+    second = cut(first.groupBy((F.col("x") % 7).alias("y")).count())
+    of = lambda df: df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get().removeprefix("file:")
+    paths = of(first), of(second)
+    assert all(map(os.path.exists, paths))
+    release(first)
+    assert [os.path.exists(p) for p in paths] == [False, True] and second.count() == 7
+
+
 def test_encoder_decides_without_series(spark, monkeypatch):
     """The method moves rows: models of one maker and number whose series no list knows are told apart by the trained encoder."""
     from skarn.llm import matching
